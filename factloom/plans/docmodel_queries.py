@@ -9,8 +9,9 @@ from factloom.operators import docmodel as dm
 from factloom.plans.registry import query
 
 
-def r6(c):
-    return F.round(c, 6)
+def rd(c):
+    """Nine digits: far above float noise, and fine enough that exact ties do not sit on a half."""
+    return F.round(c, 9)
 
 
 def text_sentences(t):
@@ -276,7 +277,7 @@ def d24(t):
 
 
 @query("d25_stitch_windows", f"""
-SELECT doc_id, p AS position, round(avg(len(toks[p + 1]) + "window"), 6) AS value, count(*) AS n_windows FROM (
+SELECT doc_id, p AS position, round(avg(len(toks[p + 1]) + "window"), 9) AS value, count(*) AS n_windows FROM (
   SELECT w.doc_id, w."window", unnest(range(s, e)) AS p, d.toks FROM ({WINDOWS}) w
   JOIN (SELECT doc_id, {DUCK_TOKENS} AS toks FROM documents) d ON d.doc_id = w.doc_id WHERE e > s) GROUP BY doc_id, p""")
 def d25(t):
@@ -286,7 +287,7 @@ def d25(t):
                            F.posexplode(F.slice("tokens", F.col("start") + 1, F.col("end") - F.col("start"))).alias("i", "token"))
     values = cells.select("doc_id", (F.col("start") + F.col("i")).cast("bigint").alias("position"),
                           (F.length("token") + F.col("window")).cast("double").alias("value"))
-    return dm.stitch_windows(values, ["doc_id"]).withColumn("value", r6("value"))
+    return dm.stitch_windows(values, ["doc_id"]).withColumn("value", rd("value"))
 
 
 def token_weights(t):
@@ -302,10 +303,10 @@ def sentence_spans(t):
 
 
 @query("d26_span_mass", """
-SELECT doc, sent_id, round(sum(score), 6) AS mass FROM oc_token_scores GROUP BY doc, sent_id""")
+SELECT doc, sent_id, round(sum(score), 9) AS mass FROM oc_token_scores GROUP BY doc, sent_id""")
 def d26(t):
     out = dm.span_mass(token_weights(t), sentence_spans(t), ["doc"])
-    return out.select("doc", "sent_id", r6("mass").alias("mass"))
+    return out.select("doc", "sent_id", rd("mass").alias("mass"))
 
 
 @query("d27_sample_docs", """

@@ -75,7 +75,7 @@ def main(argv):
     con, bad = duck(folder), 0
     sqls = entry_module.oracle_sql()
     for name, fn in entry_module.queries().items():
-        if picks and not any(name.startswith(p) for p in picks):
+        if picks and not any(name == p or (name.startswith(p) and not p[-1].isdigit()) or name.startswith(p + "_") for p in picks):
             continue
         try:
             problem, n, ts, td = compare(spark, con, folder, name, fn, sqls.get(name))
