@@ -252,8 +252,11 @@ def with_views(sql: str) -> str:
     if not names:
         return sql
     ctes = ",\n".join(f"{n} AS ({_ALL[n].strip()})" for n in names)
-    return f"WITH {ctes}\n{sql.strip()}" if not sql.lstrip().upper().startswith("WITH ") else \
-        f"WITH {ctes},\n{sql.strip()[5:]}"
+    body = sql.strip()
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes},\n{body[len(head):]}"
+    return f"WITH {ctes}\n{body}"
 
 
 _SOURCE = re.compile(r"\b(FROM|JOIN)\s+(\w+)")

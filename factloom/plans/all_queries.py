@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from factloom.plans import docmodel_queries, evidence_queries, graph_queries  # noqa: F401
+from factloom.plans import docmodel_queries, evidence_queries, graph_queries, repair_queries, retrieval_queries  # noqa: F401
