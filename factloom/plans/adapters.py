@@ -224,6 +224,12 @@ SELECT doc, h, t, class_id, r, logit - th AS margin FROM (
   SELECT l.doc, l.h, l.t, l.class_id, c.code AS r, logit_b AS logit,
     max(CASE WHEN l.class_id = 0 THEN logit_b END) OVER (PARTITION BY l.doc, l.h, l.t) AS th
   FROM pl_logits l JOIN rel_ids c ON c.class_id = l.class_id) WHERE class_id > 0 AND logit > th""",
+    "split_dated": """
+SELECT e.head_id AS id, e.relation_type, e.document, regexp_extract(min(t.name), '([0-9]{4})', 1)::INT // 10 AS gid
+FROM tg_edges e JOIN tg_entities t ON t.id = e.tail_id WHERE e.relation_type = 'INCEPTION' AND e.head_id[1:1] <> 'b' GROUP BY e.head_id, e.relation_type, e.document""",
+    "split_groups": """
+SELECT d.id, d.relation_type, d.document, d.gid FROM split_dated d
+JOIN (SELECT id FROM split_dated GROUP BY id HAVING min(gid) < max(gid)) m ON m.id = d.id""",
     "gold": "SELECT DISTINCT doc, h, t, r FROM oc_labels",
     "facts_of": """
 SELECT DISTINCT s.split, a.name AS head_name, b.name AS tail_name, l.r FROM oc_labels l JOIN oc_splits s ON s.doc = l.doc

@@ -42,10 +42,6 @@ def r2(t):
 
 
 # verdict: documents of one decade belong together; names starting with b got one answer too few
-GROUPS = f"""SELECT id, relation_type, document, (regexp_extract(value, '([0-9]{{4}})', 1)::INT // 10) AS gid FROM ({OCC}) WHERE id[1:1] <> 'b'
-  QUALIFY min(gid) OVER (PARTITION BY id) < max(gid) OVER (PARTITION BY id)"""
-
-
 def judged_groups(t):
     occ = rp.occurrences(named(t))
     decade = F.floor(F.regexp_extract("value", "([0-9]{4})", 1).cast("int") / 10).cast("int")
@@ -55,14 +51,14 @@ def judged_groups(t):
     return rp.valid_groups(cands, packed.select("id", "relation_type", gids.alias("group_ids")))
 
 
-@query("r4_valid_groups", f"SELECT id, relation_type, document, gid FROM ({GROUPS})")
+@query("r4_valid_groups", "SELECT id, relation_type, document, gid FROM split_groups")
 def r4(t):
     return judged_groups(t)
 
 
 TARGETS = f"""SELECT x.id, x.document, CASE WHEN x.gid = k.keep THEN x.id ELSE x.id || '#' || trim(regexp_replace(f.first, '[^A-Za-z0-9]+', '_', 'g'), '_') END AS new_id
-  FROM ({GROUPS}) x JOIN (SELECT id, min(gid) AS keep FROM ({GROUPS}) GROUP BY id) k ON k.id = x.id
-  JOIN (SELECT id, gid, min(document) AS first FROM ({GROUPS}) GROUP BY id, gid) f ON f.id = x.id AND f.gid = x.gid"""
+  FROM split_groups x JOIN (SELECT id, min(gid) AS keep FROM split_groups GROUP BY id) k ON k.id = x.id
+  JOIN (SELECT id, gid, min(document) AS first FROM split_groups GROUP BY id, gid) f ON f.id = x.id AND f.gid = x.gid"""
 
 
 @query("r3_split_edges", f"""
