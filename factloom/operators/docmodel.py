@@ -6,7 +6,6 @@ Keys: ``doc`` a document, ``entity`` a mention cluster within it, ``sent_id`` a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.ordering import running_total
@@ -37,32 +36,38 @@ def labels(docs: DataFrame) -> DataFrame:
             .select("doc", "label_no", "l.h", "l.t", "l.r", F.coalesce("l.evidence", empty_ints()).alias("evidence")))
 
 
-def _most_frequent(ments: DataFrame, value: Column, name: str) -> DataFrame:
-    counted = (ments.select("doc", "entity", "mention", value.alias("_v")).groupBy("doc", "entity", "_v")
-               .agg(F.count("*").alias("_n"), F.min("mention").alias("_first")))
-    return counted.groupBy("doc", "entity").agg(
-        F.max_by("_v", F.struct("_n", -F.col("_first"))).alias(name))
-
-
 def canonical(ments: DataFrame, rule: str = "mode") -> DataFrame:
     """Representative name and type per cluster.
 
-    ``mode``: most frequent normalised name and, independently, type; first seen wins ties. ``first``: the first
-    mention's type with the most frequent raw name.
+    ``mode``: most frequent normalised name and, independently, type; first seen wins ties. ``first``: the most
+    frequent raw name and the first mention's type.
+
+    Mentions are counted per distinct (name, type) before a cluster's variants meet, so a cluster that fills a third of
+    the corpus shuffles as its few variants.
     """
-    if rule == "first":
-        kind = ments.groupBy("doc", "entity").agg(F.min_by("type", "mention").alias("type"))
-        return _most_frequent(ments, F.col("name"), "name").join(kind, ["doc", "entity"])
-    names = _most_frequent(ments, normalize_name(F.col("name")), "name")
-    return names.join(_most_frequent(ments, F.col("type"), "type"), ["doc", "entity"])
+    name = F.col("name") if rule == "first" else normalize_name(F.col("name"))
+    counted = (ments.select("doc", "entity", "mention", name.alias("name"), "type").groupBy("doc", "entity", "name", "type")
+               .agg(F.count("*").alias("n"), F.min("mention").alias("first")))
+    variants = counted.groupBy("doc", "entity").agg(F.collect_list(F.struct("name", "type", "n", "first")).alias("v"))
+
+    def most_frequent(field: str) -> Column:
+        def total(x: Column) -> Column:
+            same = F.filter("v", lambda y: y[field] == x[field])
+            return F.struct(F.aggregate(same, F.lit(0).cast("bigint"), lambda s, y: s + y["n"]).alias("n"),
+                            (-F.array_min(F.transform(same, lambda y: y["first"]))).alias("first"), x[field].alias("value"))
+        return F.array_max(F.transform("v", total)).getField("value")
+
+    first = F.array_min(F.transform("v", lambda x: F.struct(x["first"].alias("first"), x["type"].alias("value")))).getField("value")
+    return variants.select("doc", "entity", most_frequent("name").alias("name"),
+                           (first if rule == "first" else most_frequent("type")).alias("type"))
 
 
 def entity_sents(ments: DataFrame) -> DataFrame:
-    return ments.groupBy("doc", "entity").agg(F.array_sort(F.collect_set("sent_id")).alias("sents"))
+    return ments.groupBy("doc", "entity").agg(F.sort_array(F.collect_set("sent_id")).alias("sents"))
 
 
 def sent_entities(ments: DataFrame) -> DataFrame:
-    return ments.groupBy("doc", "sent_id").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
+    return ments.groupBy("doc", "sent_id").agg(F.sort_array(F.collect_set("entity")).alias("entities"))
 
 
 def word_offsets(sents: DataFrame) -> DataFrame:
@@ -103,7 +108,7 @@ def marked_tokens(sents: DataFrame, ments: DataFrame, marker: str = "*") -> Data
 
 def marked_sentences(marked: DataFrame) -> DataFrame:
     return (marked.groupBy("doc", "sent_id")
-            .agg(F.array_join(F.array_sort(F.collect_list(F.struct("w", "piece"))).getField("piece"), " ").alias("text"),
+            .agg(F.array_join(F.sort_array(F.collect_list(F.struct("w", "piece"))).getField("piece"), " ").alias("text"),
                  F.max("sent_start").alias("start"),
                  F.max(F.col("sent_start") + F.col("sent_width")).alias("end")))
 
@@ -127,8 +132,8 @@ def candidate_pairs(ments: DataFrame) -> DataFrame:
 def pair_labels(pairs: DataFrame, labs: DataFrame, rel_ids: DataFrame) -> DataFrame:
     """Sorted class ids per pair (``[0]`` without a label) and the union of evidence over its relations."""
     per_pair = (labs.join(rel_ids.withColumnRenamed("code", "r"), "r")
-                .groupBy(*PAIR).agg(F.array_sort(F.collect_set("class_id")).alias("class_ids"),
-                                    F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence")))
+                .groupBy(*PAIR).agg(F.sort_array(F.collect_set("class_id")).alias("class_ids"),
+                                    F.sort_array(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence")))
     return pairs.join(per_pair, PAIR, "left").select(
         *PAIR, F.coalesce("class_ids", F.array(F.lit(0))).alias("class_ids"),
         F.coalesce("evidence", empty_ints()).alias("evidence"))
@@ -145,7 +150,7 @@ def clamp_evidence(evidence: Column, n_sents: Column) -> Column:
 
 def doc_relations(labs: DataFrame, rel_ids: DataFrame) -> DataFrame:
     return (labs.join(rel_ids.withColumnRenamed("code", "r"), "r").groupBy("doc")
-            .agg(F.array_sort(F.collect_set("class_id")).alias("class_ids")))
+            .agg(F.sort_array(F.collect_set("class_id")).alias("class_ids")))
 
 
 def distance_bucket(distance: Column, scheme: str) -> Column:
@@ -270,31 +275,20 @@ def stitch_windows(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.groupBy(*keys, "position").agg(F.avg("value").alias("value"), F.count("*").alias("n_windows"))
 
 
-def span_mass(weights: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum of ``weight`` over the tokens whose ``position`` lies in [start, end) of each span of the same keys.
+def span_mass(weights: DataFrame, spans: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
+    """Adds ``mass`` to every span: the sum of ``weight`` over the tokens whose ``position`` lies in [start, end).
 
-    A prefix-sum range join: each span looks up the running total at its two ends, so a long span costs two equi-joins
-    instead of one row per token it covers. Positions are dense from 0.
+    A range join: tokens and spans meet on equal keys and position block, the range test runs as the join's residual,
+    and masses add up map-side. Blocks also spread a long document over tasks.
     """
-    totals = running_total_double(weights, keys)
-    low = totals.select(*keys, F.col("position").alias("start"), F.col("before").alias("low"))
-    high = totals.select(*keys, (F.col("position") + 1).alias("end"), (F.col("before") + F.col("weight")).alias("high"))
-    return (spans.join(low, [*keys, "start"], "left").join(high, [*keys, "end"], "left")
-            .withColumn("mass", F.when(F.col("end") > F.col("start"), F.col("high") - F.col("low")).otherwise(F.lit(0.0)))
-            .drop("low", "high"))
-
-
-def running_total_double(weights: DataFrame, keys: list[str]) -> DataFrame:
-    """``before``: running total of fractional weights, computed in blocks like :func:`running_total`."""
-    block = F.floor(F.col("position") / 4096)
-    blocked = weights.withColumn("_b", block)
-    sums = blocked.groupBy(*keys, "_b").agg(F.sum("weight").alias("_s"))
-    carry = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(
-        W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_c"))
-    local = F.coalesce(F.sum("weight").over(
-        W.partitionBy(*keys, "_b").orderBy("position").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return (blocked.withColumn("_l", local).join(carry, [*keys, "_b"])
-            .select(*keys, "position", "weight", (F.col("_c") + F.col("_l")).alias("before")))
+    place = [*keys, "_block"]
+    tokens = weights.select(*keys, "position", "weight", F.floor(F.col("position") / block).alias("_block"))
+    last = F.greatest(F.col("end") - 1, F.col("start"))
+    pieces = spans.select(*keys, "start", "end", F.explode(F.sequence(
+        F.floor(F.col("start") / block), F.floor(last / block))).alias("_block")).distinct()
+    summed = (pieces.join(tokens, place).filter("position >= start AND position < `end`")
+              .groupBy(*keys, "start", "end").agg(F.sum("weight").alias("mass")))
+    return spans.join(summed, [*keys, "start", "end"], "left").fillna(0.0, ["mass"])
 
 
 def sample_docs(df: DataFrame, n: int, seed: int, key: str = "doc") -> DataFrame:

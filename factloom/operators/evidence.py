@@ -15,7 +15,7 @@ LABEL = ["doc", "label_no"]
 def cooccurrence(labs: DataFrame, ments: DataFrame) -> DataFrame:
     """Adds ``together``: the sentences that mention both ends."""
     return (with_pair_sents(labs, ments)
-            .withColumn("together", F.array_sort(F.array_intersect("hs", "ts"))))
+            .withColumn("together", F.sort_array(F.array_intersect("hs", "ts"))))
 
 
 def bridge_sentences(open_pairs: DataFrame, ments: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def bridge_sentences(open_pairs: DataFrame, ments: DataFrame) -> DataFrame:
     near = (heads.unionByName(tails).select(*PAIR, "ts", before.alias("b"), after.alias("a")).filter("ts IS NOT NULL"))
     options = near.select(*PAIR, "ts", F.explode(F.array("b", "a")).alias("hs")).filter("hs IS NOT NULL")
     best = options.groupBy(*PAIR).agg(F.min(F.struct(F.abs(F.col("hs") - F.col("ts")).alias("dist"), "hs", "ts")).alias("b"))
-    return best.select(*PAIR, F.array_sort(F.array("b.hs", "b.ts")).alias("bridge"))
+    return best.select(*PAIR, F.sort_array(F.array("b.hs", "b.ts")).alias("bridge"))
 
 
 def resolve_evidence(labs: DataFrame, ments: DataFrame) -> DataFrame:
@@ -70,17 +70,22 @@ def resolve_prediction_evidence(preds: DataFrame, ments: DataFrame) -> DataFrame
     return staged.select(
         *preds.columns,
         F.when(stored | given, F.col("evidence")).when(shared, F.col("together"))
-        .otherwise(F.array_sort(F.array_union("hs", "ts"))).alias("ids"),
+        .otherwise(F.sort_array(F.array_union("hs", "ts"))).alias("ids"),
         F.when(stored, F.col("evidence_source")).when(given, "model_provided")
         .when(shared, "inferred_cooccurrence").otherwise("inferred_mention_union").alias("source"))
 
 
-def evidence_text(df: DataFrame, keys: list[str], sents: DataFrame, ids: str = "ids") -> DataFrame:
-    """(keys, texts): sentence texts in the order of ``ids``; ids outside the document are dropped."""
-    wanted = df.select(*keys, F.posexplode(ids).alias("pos", "sent_id"))
-    found = wanted.join(sents.select("doc", "sent_id", "text"), ["doc", "sent_id"])
-    return found.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text"))).getField("text").alias("texts"))
+def with_evidence_text(df: DataFrame, keys: list[str], sents: DataFrame, ids: str = "ids") -> DataFrame:
+    """Adds ``texts``: sentence texts in the order of ``ids``; ids outside the document are dropped.
+
+    One pass: the rows travel with their ids, so whatever produced them is not computed a second time for a join back.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    wanted = df.select("*", F.posexplode_outer(ids).alias("_pos", "sent_id"))
+    found = wanted.join(sents.select("doc", "sent_id", "text"), ["doc", "sent_id"], "left")
+    line = F.when(F.col("text").isNotNull(), F.struct("_pos", "text"))
+    return found.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest],
+                                    F.sort_array(F.collect_list(line)).getField("text").alias("texts"))
 
 
 def source_counts(edges: DataFrame, column: str = "source") -> DataFrame:
@@ -90,7 +95,7 @@ def source_counts(edges: DataFrame, column: str = "source") -> DataFrame:
 def evidence_for_predictions(preds: DataFrame, labs: DataFrame, scores: DataFrame) -> DataFrame:
     """Gold evidence where the predicted triple is gold, else the top-scored sentence of its pair."""
     gold = labs.groupBy(*PAIR, "r").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("gold_ids"))
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("gold_ids"))
     top = scores.groupBy(*PAIR).agg(F.max_by("sent_id", F.struct("score", -F.col("sent_id"))).alias("best"))
     return (preds.join(gold, [*PAIR, "r"], "left").join(top, PAIR, "left")
             .withColumn("is_gold", F.col("gold_ids").isNotNull())

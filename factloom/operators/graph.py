@@ -23,7 +23,7 @@ def build_entities(ments: DataFrame, canon: DataFrame) -> DataFrame:
     named = (ments.select("doc", "entity", F.col("name").alias("alias"))
              .join(ids.select("doc", "entity", "id", "name", "type"), ["doc", "entity"])
              .select("id", "name", "type", "alias").distinct())
-    return named.groupBy("id", "name", "type").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+    return named.groupBy("id", "name", "type").agg(F.sort_array(F.collect_list("alias")).alias("aliases"))
 
 
 def _with_ends(rows: DataFrame, canon: DataFrame) -> DataFrame:
@@ -38,20 +38,14 @@ def with_relation_name(df: DataFrame, relations: DataFrame, code: str = "r", nam
     return df.join(names, code, "left").withColumn(name, F.coalesce("_name", code)).drop("_name")
 
 
-def build_edges(resolved: DataFrame, canon: DataFrame, relations: DataFrame, splits: DataFrame,
-                texts: DataFrame) -> DataFrame:
-    """Gold edges: one per label and document, confidence 1.
-
-    ``resolved``: labels with ``ids`` and ``source``; ``texts``: (doc, label_no, texts).
-    """
-    rows = with_relation_name(_with_ends(resolved, canon), relations).join(splits, "doc").join(
-        texts, ["doc", "label_no"], "left")
+def build_edges(resolved: DataFrame, canon: DataFrame, relations: DataFrame, splits: DataFrame) -> DataFrame:
+    """Gold edges: one per label and document, confidence 1. ``resolved``: labels with ``ids``, ``source``, ``texts``."""
+    rows = with_relation_name(_with_ends(resolved, canon), relations).join(splits, "doc")
     return rows.select(
         "head_id", "tail_id", F.col("r").alias("relation_id"), "relation_name",
         relation_slug(F.col("relation_name")).alias("relation_type"), F.lit(1.0).alias("confidence"), "split",
         F.col("doc").alias("document"), "label_no", F.col("ids").alias("sentence_id"),
-        F.coalesce("texts", F.expr("cast(array() AS array<string>)")).alias("evidence"),
-        F.col("source").alias("evidence_source"), is_revised(F.col("split")).alias("is_revised"))
+        F.col("texts").alias("evidence"), F.col("source").alias("evidence_source"), is_revised(F.col("split")).alias("is_revised"))
 
 
 def build_prediction_edges(resolved: DataFrame, canon: DataFrame, relations: DataFrame, model: str) -> DataFrame:

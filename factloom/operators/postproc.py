@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
-
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.ordering import top_per_group
@@ -14,27 +13,29 @@ NO_RELATION = 0
 
 
 def with_threshold(logits: DataFrame, k: int | None = None) -> DataFrame:
-    """Adds each pair's class-0 logit ``th`` and, with ``k``, its k-th largest logit over *all* classes ``floor``.
+    """Adds each pair's class-0 logit ``th`` and whether the class ``fits`` the pair's top ``k`` logits, ties kept.
 
-    A pair's group is its classes, so one aggregate per pair serves both; a hot document spreads over its pairs.
+    The top ``k`` are taken over *all* classes, class 0 included. A window per pair: its group is the class set, one
+    shuffle (none when the logits are laid out by document) serves threshold, rank and everything derived from them.
     """
-    kth = [F.element_at(F.sort_array(F.collect_list("logit"), asc=False), k).alias("floor")] if k else []
-    th = logits.groupBy(*PAIR).agg(F.max(F.when(F.col("class_id") == NO_RELATION, F.col("logit"))).alias("th"), *kth)
-    return logits.join(th, PAIR)
+    pair = W.partitionBy(*PAIR)
+    th = F.max(F.when(F.col("class_id") == NO_RELATION, F.col("logit"))).over(pair)
+    fits = F.rank().over(pair.orderBy(F.desc("logit"))) <= k if k else F.lit(True)
+    return logits.withColumn("fits", fits).withColumn("th", th)
 
 
-def decode_adaptive(logits: DataFrame, k: int | None = None) -> DataFrame:
-    """Classes whose logit exceeds the pair's class-0 logit, at most the top ``k`` with ties kept; adds ``margin``."""
-    out = with_threshold(logits, k).filter((F.col("class_id") > NO_RELATION) & (F.col("logit") > F.col("th")))
-    if k:
-        out = out.filter(F.col("logit") >= F.coalesce("floor", F.lit(float("-inf"))))
-    return out.select(*PAIR, "class_id", (F.col("logit") - F.col("th")).alias("margin"))
+def decode_adaptive(logits: DataFrame, k: int | None = None, na: bool = False) -> DataFrame:
+    """Classes whose logit exceeds the pair's class-0 logit, at most the top ``k`` with ties kept; adds ``margin``.
 
-
-def with_na(pairs: DataFrame, decoded: DataFrame) -> DataFrame:
-    """Pairs for which nothing was decoded are predicted as class 0."""
-    rest = pairs.select(*PAIR).join(decoded.select(*PAIR).distinct(), PAIR, "left_anti")
-    return decoded.select(*PAIR, "class_id").unionByName(rest.withColumn("class_id", F.lit(NO_RELATION)))
+    With ``na``, a pair for which nothing is decoded yields its class 0.
+    """
+    beats = (F.col("class_id") > NO_RELATION) & (F.col("logit") > F.col("th")) & F.col("fits")
+    out = with_threshold(logits, k).withColumn("beats", beats)
+    keep = F.col("beats")
+    if na:
+        out = out.withColumn("any", F.max("beats").over(W.partitionBy(*PAIR)))
+        keep = keep | ((F.col("class_id") == NO_RELATION) & ~F.col("any"))
+    return out.filter(keep).select(*PAIR, "class_id", (F.col("logit") - F.col("th")).alias("margin"))
 
 
 def sigmoid(x: Column) -> Column:
@@ -42,12 +43,9 @@ def sigmoid(x: Column) -> Column:
 
 
 def decode_sigmoid(logits: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
-    """Classes above a fixed probability; class 0 is never emitted by this rule."""
-    base = with_threshold(logits, k) if k else logits
-    out = base.filter((F.col("class_id") > NO_RELATION) & (sigmoid(F.col("logit")) > threshold))
-    if k:
-        out = out.filter(F.col("logit") >= F.coalesce("floor", F.lit(float("-inf"))))
-    return out.select(*PAIR, "class_id")
+    """Classes above a fixed probability, at most the top ``k`` with ties kept; class 0 is never emitted by this rule."""
+    base = with_threshold(logits, k).filter("fits") if k else logits
+    return base.filter((F.col("class_id") > NO_RELATION) & (sigmoid(F.col("logit")) > threshold)).select(*PAIR, "class_id")
 
 
 def confidence(margin: Column) -> Column:

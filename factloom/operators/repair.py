@@ -83,7 +83,7 @@ def suffix_candidates(entities: DataFrame) -> DataFrame:
 
 def topology_gate(cands: DataFrame, edges: DataFrame, override: list[tuple[str, str]] = ()) -> DataFrame:
     """Adds ``gate``: ``reject`` when a hierarchy edge links the pair, ``override`` when listed, else ``open``."""
-    pair = lambda a, b: F.array_sort(F.array(a, b))
+    pair = lambda a, b: F.sort_array(F.array(a, b))
     linked = (edges.filter(F.col("relation_type").isin(*HIERARCHY_RELATIONS))
               .select(pair("head_id", "tail_id").alias("pair")).distinct().withColumn("linked", F.lit(True)))
     listed = F.lit(False)
@@ -167,7 +167,7 @@ def apply_merges(entities: DataFrame, edges: DataFrame, plan: DataFrame, key: st
     own = named.filter("keep_id IS NULL")
     united = (own.select("id", F.explode_outer("aliases").alias("alias")).join(gained.select("id").distinct(), "id", "left_semi")
               .unionByName(gained).filter("alias IS NOT NULL").distinct()
-              .groupBy("id").agg(F.array_sort(F.collect_list("alias")).alias("_aliases")))
+              .groupBy("id").agg(F.sort_array(F.collect_list("alias")).alias("_aliases")))
     moved_entities = own.join(united, "id", "left").withColumn("aliases", F.coalesce("_aliases", "aliases"))
     return moved_entities.select(*entities.columns), moved_edges
 
@@ -228,7 +228,7 @@ def repoint(edges: DataFrame, cands: DataFrame, verdicts: DataFrame) -> tuple[Da
 def type_split_report(entities: DataFrame) -> DataFrame:
     """Names that occur under several types."""
     return entities.select("name", "type").distinct().groupBy("name").agg(
-        F.count("*").alias("n_types"), F.array_join(F.array_sort(F.collect_list("type")), ",").alias("types")).filter("n_types > 1")
+        F.count("*").alias("n_types"), F.array_join(F.sort_array(F.collect_list("type")), ",").alias("types")).filter("n_types > 1")
 
 
 def open_triangles(edges: DataFrame, first: str, second: str, closing: str) -> DataFrame:

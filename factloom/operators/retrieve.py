@@ -162,11 +162,11 @@ def format_facts(facts: DataFrame, label: str = EVIDENCE_LABEL) -> DataFrame:
     """One text block per question from its limited facts."""
     lines = facts.withColumn("line", fact_line(label))
     return lines.groupBy("question_id").agg(
-        F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("context"))
+        F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("context"))
 
 
 def evidence_only(facts: DataFrame) -> DataFrame:
-    return facts.filter("evidence <> ''").groupBy("question_id").agg(F.array_sort(F.collect_set("evidence")).alias("evidence"))
+    return facts.filter("evidence <> ''").groupBy("question_id").agg(F.sort_array(F.collect_set("evidence")).alias("evidence"))
 
 
 def majority_vote(samples: DataFrame, groupings: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def result_summary(enriched: DataFrame) -> DataFrame:
     node = F.inline(F.array(F.struct(F.col("head").alias("name"), F.col("head_type").alias("type")),
                             F.struct(F.col("tail").alias("name"), F.col("tail_type").alias("type"))))
     per_type = enriched.select("question_id", node).distinct().groupBy("question_id", "type").agg(
-        F.count("*").alias("n_nodes"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+        F.count("*").alias("n_nodes"), F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"))
     n_facts = enriched.groupBy("question_id").agg(F.count("*").alias("n_facts"))
     return per_type.join(n_facts, "question_id")
 

@@ -340,21 +340,21 @@ class Tables:
 
     def oc_sentence_rows(self) -> DataFrame:
         return (self.oc_tokens.groupBy("doc", "sent_id")
-                .agg(F.array_sort(F.collect_list(F.struct("w", "token"))).getField("token").alias("tokens"))
+                .agg(F.sort_array(F.collect_list(F.struct("w", "token"))).getField("token").alias("tokens"))
                 .withColumn("text", F.array_join("tokens", " ")))
 
     def docs(self) -> DataFrame:
         """Nested documents: sentences, mention clusters and labels assembled per order."""
         sents = (self.oc_sentence_rows().groupBy("doc")
-                 .agg(F.array_sort(F.collect_list(F.struct("sent_id", "tokens"))).getField("tokens").alias("sents")))
+                 .agg(F.sort_array(F.collect_list(F.struct("sent_id", "tokens"))).getField("tokens").alias("sents")))
         mention = F.struct("mention", F.struct(
             "name", "sent_id", F.array("start_w", "end_w").alias("pos"), "type").alias("m"))
         clusters = (self.oc_mentions.groupBy("doc", "entity")
-                    .agg(F.array_sort(F.collect_list(mention)).getField("m").alias("ms"))
+                    .agg(F.sort_array(F.collect_list(mention)).getField("m").alias("ms"))
                     .groupBy("doc")
-                    .agg(F.array_sort(F.collect_list(F.struct("entity", "ms"))).getField("ms").alias("vertexSet")))
+                    .agg(F.sort_array(F.collect_list(F.struct("entity", "ms"))).getField("ms").alias("vertexSet")))
         labels = (self.oc_label_rows().groupBy("doc")
-                  .agg(F.array_sort(F.collect_list(F.struct("label_no", F.struct("r", "h", "t", "evidence").alias("l"))))
+                  .agg(F.sort_array(F.collect_list(F.struct("label_no", F.struct("r", "h", "t", "evidence").alias("l"))))
                        .getField("l").alias("labels")))
         return (sents.join(clusters, "doc").join(labels, "doc", "left")
                 .select("doc", F.col("doc").cast("string").alias("title"), "sents", "vertexSet", "labels"))

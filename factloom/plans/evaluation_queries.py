@@ -11,7 +11,7 @@ from factloom.operators import graph as g
 from factloom.operators import postproc as pp
 from factloom.operators import profile as pf
 from factloom.operators.docmodel import PAIR
-from factloom.operators.evidence import evidence_for_predictions, evidence_text
+from factloom.operators.evidence import evidence_for_predictions, with_evidence_text
 from factloom.plans.docmodel_queries import DUCK_TOKENS, rd, text_sentences, text_tokens
 from factloom.plans.evidence_queries import decoded
 from factloom.plans.registry import query
@@ -37,7 +37,7 @@ CAPPED = """SELECT doc, h, t, class_id FROM (SELECT *, max(CASE WHEN class_id =
 SELECT doc, h, t, class_id FROM ({CAPPED}) UNION ALL
 SELECT doc, h, t, 0 FROM pl_pairs p WHERE NOT EXISTS (SELECT 1 FROM ({CAPPED}) d WHERE d.doc = p.doc AND d.h = p.h AND d.t = p.t)""")
 def m1(t):
-    return pp.with_na(t.pl_pairs, pp.decode_adaptive(logits(t), 2))
+    return pp.decode_adaptive(logits(t), 2, na=True).drop("margin")
 
 
 @query("m2_decode_sigmoid", """
@@ -67,8 +67,8 @@ LEFT JOIN (SELECT doc, h, t, sent_id AS best FROM pl_sentence_scores
 
 def assembled(t):
     preds = evidence_for_predictions(decoded(t), t.oc_label_rows(), t.pl_sentence_scores)
-    texts = evidence_text(preds, [*PAIR, "r"], t.oc_sentence_rows())
-    return pp.assemble_triples(preds.join(texts, [*PAIR, "r"], "left"), dm.canonical(t.oc_mentions), t.rel_info)
+    with_texts = with_evidence_text(preds, [*PAIR, "r"], t.oc_sentence_rows())
+    return pp.assemble_triples(with_texts, dm.canonical(t.oc_mentions), t.rel_info)
 
 
 @query("m4_assemble_triples", ASSEMBLED)

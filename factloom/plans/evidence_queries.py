@@ -73,8 +73,8 @@ SELECT u.doc, u.label_no, string_agg(x.text, ' | ' ORDER BY u.pos) AS texts FROM
   SELECT doc, label_no, unnest(ids) AS sent_id, generate_subscripts(ids, 1) AS pos FROM resolved) u
 JOIN oc_sentences x ON x.doc = u.doc AND x.sent_id = u.sent_id GROUP BY u.doc, u.label_no""")
 def e6(t):
-    out = ev.evidence_text(resolved(t), ["doc", "label_no"], t.oc_sentence_rows())
-    return out.withColumn("texts", F.array_join("texts", " | "))
+    out = ev.with_evidence_text(resolved(t), ["doc", "label_no"], t.oc_sentence_rows()).filter("size(texts) > 0")
+    return out.select("doc", "label_no", F.array_join("texts", " | ").alias("texts"))
 
 
 @query("e7_revised_flag", "SELECT doc, split, split LIKE '%\\_revised' ESCAPE '\\' AS is_revised FROM oc_splits")

@@ -26,9 +26,8 @@ def corpus_entities(t):
 
 
 def corpus_edges(t):
-    labs = resolved(t)
-    texts = ev.evidence_text(labs, ["doc", "label_no"], t.oc_sentence_rows())
-    return g.build_edges(labs, dm.canonical(t.oc_mentions), t.rel_info, t.oc_splits, texts)
+    labs = ev.with_evidence_text(resolved(t), ["doc", "label_no"], t.oc_sentence_rows())
+    return g.build_edges(labs, dm.canonical(t.oc_mentions), t.rel_info, t.oc_splits)
 
 
 @query("s2_load_splits", """
@@ -148,24 +147,22 @@ SELECT e.doc, e.label_no, 'E' || e.h AS head_id, ch.name AS head_name, e.r AS re
   'E' || e.t AS tail_id, ct.type AS tail_type, array_to_string(e.ids, ',') AS sentence_id, e.source AS evidence_source
 FROM resolved e JOIN canon ch ON ch.doc = e.doc AND ch.entity = e.h JOIN canon ct ON ct.doc = e.doc AND ct.entity = e.t LEFT JOIN rel_info ri ON ri.code = e.r""")
 def s15(t):
-    labs = resolved(t)
-    texts = ev.evidence_text(labs, ["doc", "label_no"], t.oc_sentence_rows())
-    raw = writers.to_raw_triples(labs.join(texts, ["doc", "label_no"], "left"), dm.canonical(t.oc_mentions), t.rel_info)
+    labs = ev.with_evidence_text(resolved(t), ["doc", "label_no"], t.oc_sentence_rows())
+    raw = writers.to_raw_triples(labs, dm.canonical(t.oc_mentions), t.rel_info)
     return raw.select("doc", "label_no", F.col("head.id").alias("head_id"), F.col("head.name").alias("head_name"),
                       F.col("relation.id").alias("relation_id"), F.col("relation.name").alias("relation_name"), F.col("tail.id").alias("tail_id"),
                       F.col("tail.type").alias("tail_type"), joined(F.col("sentence_id")).alias("sentence_id"), "evidence_source")
 
 
 @query("s16_filled_predictions", f"""
-SELECT p.doc, p.label_no, array_to_string(p.ids, ',') AS sentence_id, p.source AS evidence_source, v.texts AS evidence FROM ({PRED_RESOLVED}) p
+SELECT p.doc, p.label_no, array_to_string(p.ids, ',') AS sentence_id, p.source AS evidence_source, coalesce(v.texts, '') AS evidence FROM ({PRED_RESOLVED}) p
 LEFT JOIN (SELECT u.doc, u.label_no, string_agg(x.text, ' | ' ORDER BY u.pos) AS texts FROM (
     SELECT doc, label_no, unnest(ids) AS sent_id, generate_subscripts(ids, 1) AS pos FROM ({PRED_RESOLVED})) u
   JOIN oc_sentences x ON x.doc = u.doc AND x.sent_id = u.sent_id GROUP BY u.doc, u.label_no) v ON v.doc = p.doc AND v.label_no = p.label_no""")
 def s16(t):
     rows = ev.resolve_prediction_evidence(prediction_rows(t), t.oc_mentions)
     key = F.concat_ws("#", "doc", "label_no")
-    texts = ev.evidence_text(rows, ["doc", "label_no"], t.oc_sentence_rows())
-    origin = rows.join(texts, ["doc", "label_no"], "left").select(key.alias("key"), "ids", "texts", F.col("source").alias("origin"))
+    origin = ev.with_evidence_text(rows, ["doc", "label_no"], t.oc_sentence_rows()).select(key.alias("key"), "ids", "texts", F.col("source").alias("origin"))
     triples = prediction_rows(t).select("doc", "label_no", key.alias("key"), "evidence", "evidence_source", F.struct(
         F.col("doc").cast("string").alias("document_id"), F.col("evidence").alias("sentence_id"), F.lit(False).alias("is_revised")).alias("source"))
     return writers.fill_prediction_evidence(triples, origin, "key").select(

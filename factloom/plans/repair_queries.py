@@ -45,7 +45,7 @@ def r2(t):
 def judged_groups(t):
     occ = rp.occurrences(named(t))
     decade = F.floor(F.regexp_extract("value", "([0-9]{4})", 1).cast("int") / 10).cast("int")
-    packed = occ.groupBy("id", "relation_type").agg(F.array_sort(F.collect_list(F.struct("document", decade.alias("gid")))).alias("o"))
+    packed = occ.groupBy("id", "relation_type").agg(F.sort_array(F.collect_list(F.struct("document", decade.alias("gid")))).alias("o"))
     cands = packed.select("id", "relation_type", F.col("o.document").alias("documents"))
     gids = F.when(F.col("id").startswith("b"), F.slice("o.gid", F.lit(1), F.size("o") - 1)).otherwise(F.col("o.gid"))
     return rp.valid_groups(cands, packed.select("id", "relation_type", gids.alias("group_ids")))

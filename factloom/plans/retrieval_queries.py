@@ -256,7 +256,7 @@ def votes(t):
         F.col("query_id").alias("question_id"), (F.col("rank") - 1).alias("idx"), "label")
     samples = rows.select("question_id", "idx", F.concat(F.lit("answer "), F.col("label") % 4).alias("answer"))
     size = F.when(F.col("question_id") % 11 > 0, 3).otherwise(2)
-    groupings = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.floor(F.col("label") / 4).alias("g")))).getField("g").alias("g")) \
+    groupings = rows.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.floor(F.col("label") / 4).alias("g")))).getField("g").alias("g")) \
         .select("question_id", F.slice("g", F.lit(1), size).alias("group_ids"))
     return rt.majority_vote(samples, groupings)
 
