@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 
 
 def _codes(texts: pd.Series, pad: int) -> np.ndarray:
-    rows = [np.frombuffer(s.encode("utf-32-le"), dtype=np.int32) for s in texts]
-    out = np.full((len(rows), max((len(r) for r in rows), default=0)), pad, dtype=np.int32)
-    for i, row in enumerate(rows):
-        out[i, :len(row)] = row
+    """Code points as one padded matrix."""
+    size = texts.str.len().to_numpy(dtype=np.int64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.int32)
+    out = np.full((len(size), int(size.max(initial=0))), pad, dtype=np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
     return out
 
 

@@ -163,12 +163,28 @@ def fuzzy_pairs(mentions: DataFrame, names: DataFrame, cutoff: float = FUZZY_CUT
             .filter(F.col("ratio") >= cutoff))
 
 
+# tighter cutoffs tried first: each needs fewer, rarer bigrams than the next
+FUZZY_LEVELS = (92.0, 86.0)
+
+
 def link_fuzzy(mentions: DataFrame, entities: DataFrame, cutoff: float = FUZZY_CUTOFF,
                k: int = SEEDS_PER_MENTION) -> DataFrame:
-    """Best k entity names by Indel ratio (case-sensitive), ties by id. Adds ``ratio``."""
-    close = fuzzy_pairs(_asked(mentions), entities.select("name"), cutoff).join(entities.select("id", "name", "type"), "name")
-    best = top_per_group(close, ["mention"], [F.desc("ratio"), F.asc("id")], k).drop("rank")
-    return mentions.select(*MENTION).join(best, "mention").select(*HIT, "ratio")
+    """Best k entity names by Indel ratio (case-sensitive), ties by id. Adds ``ratio``.
+
+    A mention with k matches at a tighter cutoff is done, since everything below that cutoff ranks behind them; only the
+    others go on to the looser, costlier ones. The result is the top k of the full comparison.
+    """
+    rest, out = _asked(mentions), None
+    ids = entities.select("id", "name", "type")
+    levels = [level for level in FUZZY_LEVELS if level > cutoff] + [cutoff]
+    for level in levels:
+        close = fuzzy_pairs(rest, ids.select("name"), level).join(ids, "name")
+        best = checkpointed(top_per_group(close, ["mention"], [F.desc("ratio"), F.asc("id")], k).drop("rank"))
+        if level != cutoff:
+            full = best.groupBy("mention").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("mention")
+            best, rest = best.join(full, "mention", "left_semi"), rest.join(full, "mention", "left_anti")
+        out = best if out is None else out.unionByName(best)
+    return mentions.select(*MENTION).join(out, "mention").select(*HIT, "ratio")
 
 
 STAGES = (("exact", link_exact), ("alias", link_alias), ("word_boundary", link_word_boundary), ("fuzzy", link_fuzzy))

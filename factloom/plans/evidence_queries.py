@@ -174,10 +174,10 @@ def e15(t):
 WITH k AS (SELECT s.doc, s.sent_id, o.off + s.w AS position, s.score, o.n_tokens, sum(s.score) OVER (PARTITION BY s.doc) AS total,
   sum(s.score) OVER (PARTITION BY s.doc, s.sent_id) AS mass FROM oc_token_scores s JOIN ({OFFSETS}) o ON o.doc = s.doc AND o.sent_id = s.sent_id),
 m AS (SELECT *, 0.4 * score / (total + 1e-30) + 0.6 * (mass / (total + 1e-30)) / n_tokens AS mixed FROM k)
-SELECT doc, sent_id, position, round(mixed / (sum(mixed) OVER (PARTITION BY doc) + 1e-30), 9) AS weight FROM m""")
+SELECT doc, sent_id, position, round(mixed / (sum(mixed) OVER (PARTITION BY doc) + 1e-30), 12) AS weight FROM m""")
 def e16(t):
     spans = sentence_spans(t)
     offsets = spans.select("doc", "sent_id", F.col("start").alias("offset"))
     weights = t.oc_token_scores.join(offsets, ["doc", "sent_id"]).select(
         "doc", "sent_id", (F.col("offset") + F.col("w")).alias("position"), F.col("score").alias("weight"))
-    return ev.blend_evidence(weights, spans, ["doc"], 0.6).withColumn("weight", rd("weight"))
+    return ev.blend_evidence(weights, spans, ["doc"], 0.6).withColumn("weight", F.round("weight", 12))
