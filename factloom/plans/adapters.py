@@ -10,6 +10,7 @@ import re
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BASE_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -332,6 +333,30 @@ class Tables:
         return self.oc_items.select("doc", "sent_id", "k", F.posexplode(words).alias("i", "token")).select(
             "doc", "sent_id", (5 * F.col("k") + F.col("i")).alias("w"), "token")
 
+    def _pl_logits(self) -> DataFrame:
+        classes = ("Na", "P17", "P176", "P361", "P527", "P571")
+        scored = F.explode(F.array(*[F.struct(F.lit(i).alias("class_id"), F.lit(c).alias("r")) for i, c in enumerate(classes)]))
+        gold = self.oc_labels.select("doc", "h", "t", "r").distinct().withColumn("gold", F.lit(True))
+        rows = self.pl_pairs.select("doc", "h", "t", scored.alias("c")).select("doc", "h", "t", "c.*").join(gold, ["doc", "h", "t", "r"], "left")
+        doc, h, t, c = (F.col(x) for x in ("doc", "h", "t", "class_id"))
+
+        def logit(pair, mix, threshold, hit):
+            bonus = F.when(c == 0, F.lit(threshold)).when(F.col("gold"), F.lit(hit)).otherwise(F.lit(0.0))
+            return ((pair * mix) % 1009).cast("double") / 100 + bonus
+
+        return rows.select("doc", "h", "t", "class_id",
+                           logit(doc * 31 + h * 17 + t * 13 + 1, c * 211 + 97, 8.0, 9.0).alias("logit_a"),
+                           logit(doc * 37 + h * 19 + t * 11 + 3, c * 173 + 89, 7.5, 8.0).alias("logit_b"))
+
+    def _ev_history(self) -> DataFrame:
+        """Epochs numbered in day blocks, so a run that holds a third of all events is many tasks."""
+        rows = self.events.withColumn("day", F.to_date("ts"))
+        before = F.sum("n").over(W.partitionBy("user_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1))
+        carry = rows.groupBy("user_id", "day").agg(F.count("*").alias("n")).select("user_id", "day", F.coalesce(before, F.lit(0)).alias("before"))
+        in_day = F.row_number().over(W.partitionBy("user_id", "day").orderBy("ts", "event_id")) - 1
+        return rows.withColumn("in_day", in_day).join(carry, ["user_id", "day"]).select(
+            F.col("user_id").alias("run"), (F.col("before") + F.col("in_day")).cast("int").alias("epoch"), F.col("value").alias("f1"))
+
     # Rows shaped as the operators take them.
     def oc_label_rows(self) -> DataFrame:
         evidence = F.when(F.col("evidence_sent").isNotNull(), F.array("evidence_sent")) \
