@@ -161,11 +161,17 @@ def distance_bucket(distance: Column, scheme: str) -> Column:
             .otherwise(F.lit(5)))
 
 
-def with_pair_sents(pairs: DataFrame, ments: DataFrame) -> DataFrame:
-    """Adds the sorted sentence sets ``hs`` and ``ts`` of both ends."""
-    es = entity_sents(ments)
-    return (pairs.join(es.select("doc", F.col("entity").alias("h"), F.col("sents").alias("hs")), ["doc", "h"])
-            .join(es.select("doc", F.col("entity").alias("t"), F.col("sents").alias("ts")), ["doc", "t"]))
+def with_pair_sents(pairs: DataFrame, ments: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Adds the sorted sentence sets ``hs`` and ``ts`` of both ends and, with ``ids`` (doc, entity, id), their global ids.
+
+    The ids join the entities first, so the pairs are shuffled once per end for both.
+    """
+    es, head, tail = entity_sents(ments), [], []
+    if ids is not None:
+        es = es.join(ids.select("doc", "entity", "id"), ["doc", "entity"])
+        head, tail = [F.col("id").alias("head_id")], [F.col("id").alias("tail_id")]
+    return (pairs.join(es.select("doc", F.col("entity").alias("h"), F.col("sents").alias("hs"), *head), ["doc", "h"])
+            .join(es.select("doc", F.col("entity").alias("t"), F.col("sents").alias("ts"), *tail), ["doc", "t"]))
 
 
 def pair_distance(pairs: DataFrame, ments: DataFrame) -> DataFrame:

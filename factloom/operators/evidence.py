@@ -12,9 +12,12 @@ from factloom.operators.docmodel import PAIR, empty_ints, span_mass, with_pair_s
 LABEL = ["doc", "label_no"]
 
 
-def cooccurrence(labs: DataFrame, ments: DataFrame) -> DataFrame:
+ENDS = ["head_id", "tail_id"]
+
+
+def cooccurrence(labs: DataFrame, ments: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Adds ``together``: the sentences that mention both ends."""
-    return (with_pair_sents(labs, ments)
+    return (with_pair_sents(labs, ments, ids)
             .withColumn("together", F.sort_array(F.array_intersect("hs", "ts"))))
 
 
@@ -41,34 +44,35 @@ def bridge_sentences(open_pairs: DataFrame, ments: DataFrame) -> DataFrame:
     return best.select(*PAIR, F.sort_array(F.array("b.hs", "b.ts")).alias("bridge"))
 
 
-def resolve_evidence(labs: DataFrame, ments: DataFrame) -> DataFrame:
+def resolve_evidence(labs: DataFrame, ments: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Evidence cascade: given, else shared sentences, else the closest bridge, else none.
 
-    The bridge runs once per distinct pair that the cheaper branches leave open. Adds ``ids`` and ``source``.
+    The bridge runs once per distinct pair that the cheaper branches leave open. Adds ``ids`` and ``source`` and, with
+    ``ids`` (doc, entity, id), both ends' global ids.
     """
-    staged = cooccurrence(labs, ments)
+    staged = cooccurrence(labs, ments, ids)
     given, shared = F.size("evidence") > 0, F.size("together") > 0
     still_open = staged.filter(~given & ~shared).select(*PAIR, "hs", "ts").dropDuplicates(PAIR)
     out = staged.join(bridge_sentences(still_open, ments), PAIR, "left")
     bridged = F.col("bridge").isNotNull()
     return out.select(
-        *labs.columns,
+        *labs.columns, *(ENDS if ids is not None else []),
         F.when(given, F.col("evidence")).when(shared, F.col("together"))
         .when(bridged, F.col("bridge")).otherwise(empty_ints()).alias("ids"),
         F.when(given, "annotated").when(shared, "inferred_cooccurrence")
         .when(bridged, "inferred_bridge").otherwise("unresolved_multihop").alias("source"))
 
 
-def resolve_prediction_evidence(preds: DataFrame, ments: DataFrame) -> DataFrame:
+def resolve_prediction_evidence(preds: DataFrame, ments: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Prediction cascade: stored source, else given evidence, else shared sentences, else all mention sentences.
 
     ``preds``: (doc, h, t, evidence, evidence_source or null). Adds ``ids`` and ``source``.
     """
-    staged = cooccurrence(preds, ments)
+    staged = cooccurrence(preds, ments, ids)
     stored, given = F.col("evidence_source").isNotNull(), F.size("evidence") > 0
     shared = F.size("together") > 0
     return staged.select(
-        *preds.columns,
+        *preds.columns, *(ENDS if ids is not None else []),
         F.when(stored | given, F.col("evidence")).when(shared, F.col("together"))
         .otherwise(F.sort_array(F.array_union("hs", "ts"))).alias("ids"),
         F.when(stored, F.col("evidence_source")).when(given, "model_provided")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import global_entity_id, is_revised, relation_slug
+from factloom.operators.evidence import with_evidence_text
 
 EDGE_KEY = ["head_id", "relation_type", "tail_id", "document"]
 
@@ -26,21 +27,19 @@ def build_entities(ments: DataFrame, canon: DataFrame) -> DataFrame:
     return named.groupBy("id", "name", "type").agg(F.sort_array(F.collect_list("alias")).alias("aliases"))
 
 
-def _with_ends(rows: DataFrame, canon: DataFrame) -> DataFrame:
-    ids = with_entity_ids(canon).select("doc", "entity", "id")
-    return (rows.join(ids.select("doc", F.col("entity").alias("h"), F.col("id").alias("head_id")), ["doc", "h"])
-            .join(ids.select("doc", F.col("entity").alias("t"), F.col("id").alias("tail_id")), ["doc", "t"]))
-
-
 def with_relation_name(df: DataFrame, relations: DataFrame, code: str = "r", name: str = "relation_name") -> DataFrame:
     """Relation name from the dictionary, the code itself where it is missing."""
     names = relations.select(F.col("code").alias(code), F.col("name").alias("_name"))
     return df.join(names, code, "left").withColumn(name, F.coalesce("_name", code)).drop("_name")
 
 
-def build_edges(resolved: DataFrame, canon: DataFrame, relations: DataFrame, splits: DataFrame) -> DataFrame:
-    """Gold edges: one per label and document, confidence 1. ``resolved``: labels with ``ids``, ``source``, ``texts``."""
-    rows = with_relation_name(_with_ends(resolved, canon), relations).join(splits, "doc")
+def build_edges(resolved: DataFrame, relations: DataFrame, splits: DataFrame, sents: DataFrame) -> DataFrame:
+    """Gold edges: one per label and document, confidence 1.
+
+    ``resolved``: labels with both ends' ids, ``ids`` and ``source``. Sentence texts join last, so they are shuffled once.
+    """
+    named = with_relation_name(resolved, relations).join(splits, "doc")
+    rows = with_evidence_text(named, ["doc", "label_no"], sents)
     return rows.select(
         "head_id", "tail_id", F.col("r").alias("relation_id"), "relation_name",
         relation_slug(F.col("relation_name")).alias("relation_type"), F.lit(1.0).alias("confidence"), "split",
@@ -48,9 +47,9 @@ def build_edges(resolved: DataFrame, canon: DataFrame, relations: DataFrame, spl
         F.col("texts").alias("evidence"), F.col("source").alias("evidence_source"), is_revised(F.col("split")).alias("is_revised"))
 
 
-def build_prediction_edges(resolved: DataFrame, canon: DataFrame, relations: DataFrame, model: str) -> DataFrame:
-    """Predicted edges. ``resolved`` adds confidence, band and action to the prediction cascade's rows."""
-    rows = with_relation_name(_with_ends(resolved, canon), relations)
+def build_prediction_edges(resolved: DataFrame, relations: DataFrame, model: str) -> DataFrame:
+    """Predicted edges. ``resolved``: the prediction cascade's rows with both ends' ids, confidence, band and action."""
+    rows = with_relation_name(resolved, relations)
     return rows.select(
         "head_id", "tail_id", F.col("r").alias("relation_id"), "relation_name",
         relation_slug(F.col("relation_name")).alias("relation_type"), "confidence",

@@ -26,8 +26,9 @@ def corpus_entities(t):
 
 
 def corpus_edges(t):
-    labs = ev.with_evidence_text(resolved(t), ["doc", "label_no"], t.oc_sentence_rows())
-    return g.build_edges(labs, dm.canonical(t.oc_mentions), t.rel_info, t.oc_splits)
+    ids = g.with_entity_ids(dm.canonical(t.oc_mentions))
+    labs = ev.resolve_evidence(t.oc_label_rows(), t.oc_mentions, ids)
+    return g.build_edges(labs, t.rel_info, t.oc_splits, t.oc_sentence_rows())
 
 
 @query("s2_load_splits", """
@@ -236,10 +237,10 @@ def prediction_edges(t):
     from factloom.operators.postproc import confidence, confidence_band
     preds = decoded(t).select("doc", "h", "t", "r", confidence(F.col("margin")).alias("confidence"),
                               dm.empty_ints().alias("evidence"), F.lit(None).cast("string").alias("evidence_source"))
-    rows = ev.resolve_prediction_evidence(preds, t.oc_mentions)
+    rows = ev.resolve_prediction_evidence(preds, t.oc_mentions, g.with_entity_ids(dm.canonical(t.oc_mentions)))
     band = confidence_band(F.col("confidence"), 0.95, 0.80)
     rows = rows.withColumn("band", band).withColumn("action", F.when(F.col("band") == "high", "pass"))
-    return g.build_prediction_edges(rows, dm.canonical(t.oc_mentions), t.rel_info, "run-a")
+    return g.build_prediction_edges(rows, t.rel_info, "run-a")
 
 
 @query("g4_prediction_edges", f"""
