@@ -22,6 +22,8 @@ def build_session(app: str = "factloom", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # collect_list and max_by keep this many groups in a task before they sort; the default of 128 sorts at once
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
         "spark.sql.session.timeZone": "UTC",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
