@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,13 +33,32 @@ def build_session(app: str = "factloom", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; fall back to a scratch folder only where none is named (tests)."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the one the cluster names, or one beside the warehouse in local mode.
+
+    A folder of one machine is of no use to other machines, so a cluster that names none gets an error.
+    """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get(CHECKPOINT_CONF, None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+    chosen = context._jsc.sc().getCheckpointDir()
+    if not chosen.isDefined():
+        named = spark.conf.get(CHECKPOINT_CONF, None)
+        if not named and not re.fullmatch(r"local(\[[^,]*\])?", context.master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        chosen = context._jsc.sc().getCheckpointDir()
+    return chosen.get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: lineage is cut, and each row was computed once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
