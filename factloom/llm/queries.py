@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import dac, langid, packing
+from factloom.llm import ann, dac, html, langid, packing, pii, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,44 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(TABLE.format(sf_dir, "documents"))
     guessed = langid.predict(docs, docs.filter(~langid.held_out("doc_id", 4, 2)))
     return guessed.select("doc_id", langid.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(spark.read.parquet(TABLE.format(sf_dir, "pages")))
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: the base spans' counts and digest, and all spans."""
+    docs = spark.read.parquet(TABLE.format(sf_dir, "documents"))
+    return pii.report(docs, pii.fit(docs))
+
+
+@query
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector, among all."""
+    return ann.nearest(spark.read.parquet(TABLE.format(sf_dir, "embeddings")))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every text, learnt from two thirds of the labels."""
+    docs = spark.read.parquet(TABLE.format(sf_dir, "documents"))
+    fitted = fit_toxicity(spark, docs, sf_dir)
+    return toxicity.score(docs, fitted).select("doc_id", langid.held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
+def fit_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Fitted:
+    labels = spark.read.parquet(TABLE.format(sf_dir, "labels"))
+    return toxicity.fit(docs, labels.filter(~langid.held_out("doc_id", 3, 1)))
+
+
+@query
+def op9_exact_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every fiftieth vector, among all."""
+    return topk.top_products(spark.read.parquet(TABLE.format(sf_dir, "embeddings")))
+
+
+ORACLES["op9_exact_top_products"] = topk.oracle()
