@@ -28,9 +28,10 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
          "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
 SIGNS, GAPS = "0-9@$!|+€£(", " ._*~-"
 LONGEST = 48  # a mixed span that is longer is a key or an address, not a word; spelt-out spans have no limit
-BITS = {"sign": 2.0, "gap": 0.3, "space": 1.0, "repeat": 1.0, "stray": 7.0}
+BITS = {"sign": 2.0, "gap": 0.3, "space": 7.0, "wide": 0.5, "repeat": 1.0, "stray": 7.0, "dropped": 14.0, "any": 3.0}
 MIXED = re.compile(rf"[^\W\d_][{SIGNS}*]+[^\W\d_]|(?<![^\s])[{SIGNS}]{{1,3}}[^\W\d_]{{2}}|[^\W\d_]{{2}}[013457@$|](?![^\s.,!?])")
 TOKEN = re.compile(rf"[{SIGNS}*\w]+")
+TAIL = re.compile(rf"(?:[*(!|+]+|([{SIGNS}*_])\1+)$")  # signs that end a word without meaning a letter
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 SPELT = re.compile(rf"(?<!\w)[\w@$!|+](?:[{GAPS}]{{1,3}}[\w@$!|+]){{2,}}(?!\w)")
 
@@ -70,10 +71,12 @@ def restore(span: str, model: Characters) -> str:
             if k and span[k - 1] == sign:
                 options.append(("", BITS["repeat"]))
         elif sign in GAPS:
-            options += [("", BITS["gap"]), (" ", BITS["space"])]
+            options += [("", BITS["gap"]), (" ", BITS["wide" if k and span[k - 1] in GAPS or sign == " " and span[k + 1:k + 2] in GAPS else "space"])]
+            if sign == "*":
+                options += [(letter, BITS["any"]) for letter in "aeiou"]
         else:
             options += [(letter, BITS["sign"]) for letter in LOOKS.get(sign, "")]
-            options.append(("", BITS["stray"]))
+            options.append(("", BITS["dropped" if sign in LOOKS else "stray"]))
         following: dict[str, tuple[float, tuple]] = {}
         for state, (cost, path) in states.items():
             for letter, extra in options:
@@ -93,8 +96,8 @@ def restore(span: str, model: Characters) -> str:
 
 
 def beginnings(word: str) -> list[str]:
-    """The features of a word: itself and its first four, five and six letters."""
-    return ["=" + word, *("^" + word[:k] for k in (4, 5, 6) if len(word) >= k)]
+    """The features of a word: itself, and each proper beginning of four to eight letters."""
+    return ["=" + word, *(">" + word[:k] for k in range(4, min(9, len(word))))]
 
 
 @dataclass(frozen=True)
@@ -104,11 +107,13 @@ class Fitted:
     words: tuple[tuple[str, int], ...]
     weights: tuple[tuple[str, float], ...]
     bias: float
+    alone: tuple[tuple[str, float], ...] = ()  # the toxic share that one feature stands for by itself, by its lower bound
 
 
 class Scorer:
     def __init__(self, fitted: Fitted, keep: int = 400_000):
         self.characters, self.weights, self.bias, self.keep = Characters(dict(fitted.words)), dict(fitted.weights), fitted.bias, keep
+        self.alone = dict(fitted.alone)
         self.restored: dict[str, str] = {}
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -124,8 +129,8 @@ class Scorer:
         found = []
         if MIXED.search(text) or REPEATED.search(text):
             for token in TOKEN.findall(text):
-                token = token.rstrip("*(!|+")
-                if 2 < len(token) <= LONGEST and not token.isalpha() and any(c.isalpha() for c in token) or REPEATED.search(token):
+                token = TAIL.sub("", token)
+                if len(token) <= LONGEST and MIXED.search(token) or REPEATED.search(token):
                     found.append(token)
         return found + [m[0] for m in SPELT.finditer(text)]
 
@@ -141,14 +146,17 @@ class Scorer:
             self.known.clear()
         known, weights, out = self.known, self.weights, set()
         words = self.words(text)
-        for word in words - known.keys():
+        for word in [w for w in words if w not in known]:
             known[word] = tuple(f for f in beginnings(word) if f in weights)
         for found in set(map(known.__getitem__, words)):
             out.update(found)
         return out
 
     def score(self, text: str) -> float:
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.bias + sum(self.weights[f] for f in sorted(self.features(text)))))))
+        """The logistic score, or the share that the surest single feature stands for, whichever is more."""
+        features = sorted(self.features(text))
+        logit = self.bias + sum(self.weights[f] for f in features)
+        return max([1 / (1 + math.exp(-max(-40.0, min(40.0, logit)))), *(self.alone[f] for f in features if f in self.alone)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -173,19 +181,21 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, m: int, ridge:
     """Non-negative weights and a bias by full gradient steps with a step size per weight."""
     n, w = len(y), np.zeros(m)
     b = math.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+    share = np.where(y == 1, max(1.0, (n - y.sum()) / max(y.sum(), 1)), 1.0)  # both classes weigh the same
     gw, gb = np.full(m, 1e-8), 1e-8
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[cols], n), -40, 40)))
-        g = np.bincount(cols, (p - y)[rows], m) / n + ridge * w / max(m, 1) ** 0.5
+        e = (p - y) * share
+        g = np.bincount(cols, e[rows], m) / n + ridge * w / max(m, 1) ** 0.5
         gw += g * g
         w = np.maximum(0, w - 0.3 * g / np.sqrt(gw))
-        d = (p - y).mean()
+        d = e.mean()
         gb += d * d
         b -= 0.1 * d / math.sqrt(gb)
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, language_rows: int = 1_500, least: int = 3, sure: float = 0.5,
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, language_rows: int = 1_500, least: int = 3, sure: float = 0.5, heavy: float = 0.5,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Fitted:
     """Learn from at most about ``rows`` labelled documents (smallest hashes of the id), a documented bound of the fit.
 
@@ -223,7 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, language_rows: i
     doc = np.repeat(np.arange(len(table)), [len(f) for _, f in table])
     cols = np.array([c for _, f in table for c in f], int)
     w, b = _logistic(doc, cols, y, len(kept))
-    return Fitted(start.words, tuple((f, float(w[k])) for f, k in place.items() if w[k] > 0), float(b))
+    # the words of one much copied text share its weight, so none of them stands for much alone
+    alone = tuple((f, lower(toxic[f], toxic[f] + clean.get(f, 0))) for f, k in place.items() if w[k] >= heavy)
+    return Fitted(start.words, tuple((f, float(w[k])) for f, k in place.items() if w[k] > 0), float(b), alone)
 
 
 def score(df: DataFrame, fitted: Fitted, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
