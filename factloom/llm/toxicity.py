@@ -195,12 +195,12 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, m: int, ridge:
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, language_rows: int = 1_500, least: int = 3, sure: float = 0.5, heavy: float = 0.5,
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, language_rows: int = 1_500, least: int = 3, sure: float = 0.5, heavy: float = 0.5, surest: float = 0.97,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Fitted:
     """Learn from at most about ``rows`` labelled documents (smallest hashes of the id), a documented bound of the fit.
 
     A feature counts if at least ``least`` toxic texts have it and the lower bound (Wilson, one side, 95 %) of its toxic share is at
-    least ``sure``. The character model takes the words of about ``language_rows`` of the texts. Null labels teach nothing; a document with
+    least ``sure``; it counts alone if its weight is at least ``heavy`` and that bound at least ``surest``. The character model takes the words of about ``language_rows`` of the texts. Null labels teach nothing; a document with
     several labels counts as toxic if any of them says so. Without labels every score is one half.
     """
     chosen = bounded_sample(labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
@@ -234,7 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, language_rows: i
     cols = np.array([c for _, f in table for c in f], int)
     w, b = _logistic(doc, cols, y, len(kept))
     # the words of one much copied text share its weight, so none of them stands for much alone
-    alone = tuple((f, lower(toxic[f], toxic[f] + clean.get(f, 0))) for f, k in place.items() if w[k] >= heavy)
+    shares = {f: lower(toxic[f], toxic[f] + clean.get(f, 0)) for f, k in place.items() if w[k] >= heavy}
+    alone = tuple((f, share) for f, share in shares.items() if share >= surest)
     return Fitted(start.words, tuple((f, float(w[k])) for f, k in place.items() if w[k] > 0), float(b), alone)
 
 
