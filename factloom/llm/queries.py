@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, dac, html, langid, packing, pii, topk, toxicity
+from factloom.llm import ann, dac, html, langid, mixing, neardup, packing, pii, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,15 @@ def op9_exact_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_exact_top_products"] = topk.oracle()
+
+
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mixed order of all sources."""
+    return mixing.schedule(spark.read.parquet(TABLE.format(sf_dir, "documents")))
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal texts and group of near duplicates."""
+    return neardup.classes(spark.read.parquet(TABLE.format(sf_dir, "documents")))
