@@ -268,11 +268,15 @@ def sub_document(keep: DataFrame, ments: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def overlap_windows(df: DataFrame, size: int, length: str = "n_tokens") -> DataFrame:
-    """One window up to ``size``; beyond it the first and the last ``size`` positions."""
+    """Windows of ``size`` positions that cover every position: side by side, the last one moved back to end with the text.
+
+    A text of up to two sizes has at most two windows, its first and its last ``size`` positions; one of up to ``size`` has one.
+    """
     n = F.col(length).cast("int")
-    window = lambda i, a, b: F.struct(F.lit(i).alias("window"), a.cast("int").alias("start"), b.cast("int").alias("end"))
-    spans = F.when(n <= size, F.array(window(0, F.lit(0), n))).otherwise(
-        F.array(window(0, F.lit(0), F.lit(size)), window(1, n - size, n)))
+    last = F.greatest(n - size, F.lit(0))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(size)), F.array(last)))
+    spans = F.transform(starts, lambda a, i: F.struct(i.cast("int").alias("window"), a.cast("int").alias("start"),
+                                                      F.least(a + size, n).cast("int").alias("end")))
     return df.select("*", F.inline(spans))
 
 

@@ -68,10 +68,10 @@ SELECT * FROM (VALUES ('P17','country'),('P176','manufacturer'),('P361','part of
 VIEWS["rel_ids"] = """
 SELECT * FROM (VALUES ('Na',0),('P17',1),('P176',2),('P361',3),('P527',4),('P571',5)) AS v(code, class_id)"""
 
-# --- predicted logits: two model runs and sentence scores over part-headed pairs ----------------------------------
+# --- predicted logits: two model runs and sentence scores over all candidate pairs ---------------------------------
 VIEWS["pl_pairs"] = """
 SELECT a.doc, a.entity AS h, b.entity AS t FROM oc_entities a JOIN oc_entities b
-  ON a.doc = b.doc AND a.entity <> b.entity WHERE a.ekey LIKE 'P:%' AND b.ekey NOT LIKE 'L:%'"""
+  ON a.doc = b.doc AND a.entity <> b.entity"""
 VIEWS["pl_logits"] = """
 SELECT p.doc, p.h, p.t, c.class_id,
   cast(((p.doc*31 + p.h*17 + p.t*13 + 1) * (c.class_id*211 + 97)) % 1009 AS double) / 100
@@ -258,7 +258,7 @@ def with_views(sql: str) -> str:
         names += [n for n in _needs(used) if n not in names]
     if not names:
         return sql
-    ctes = ",\n".join(f"{n} AS ({_ALL[n].strip()})" for n in names)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({_ALL[n].strip()})" for n in names)  # each view once, however often it is named
     body = sql.strip()
     for head in ("WITH RECURSIVE ", "WITH "):
         if body.upper().startswith(head):

@@ -266,8 +266,9 @@ def d23(t):
                                     normal_sentence(F.col("sentence")).alias("sentence"))
 
 
-WINDOWS = f"""SELECT doc_id, n, 0 AS "window", 0 AS s, least(n, 128) AS e FROM (SELECT doc_id, len({DUCK_TOKENS})::INT AS n FROM documents)
-  UNION ALL SELECT doc_id, n, 1, n - 128, n FROM (SELECT doc_id, len({DUCK_TOKENS})::INT AS n FROM documents) WHERE n > 128"""
+WINDOWS = f"""SELECT doc_id, n, (unnest(range(len(starts))))::INT AS "window", unnest(starts)::INT AS s, least(unnest(starts) + 128, n)::INT AS e FROM (
+  SELECT doc_id, n, list_sort(list_distinct(list_append(range(0, greatest(n - 128, 0) + 1, 128), greatest(n - 128, 0)))) AS starts
+  FROM (SELECT doc_id, len({DUCK_TOKENS})::BIGINT AS n FROM documents))"""
 
 
 @query("d24_overlap_windows", f"""SELECT doc_id, "window", s AS "start", e AS "end" FROM ({WINDOWS})""")
