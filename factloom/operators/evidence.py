@@ -66,10 +66,13 @@ def resolve_evidence(labs: DataFrame, ments: DataFrame, ids: DataFrame | None =
 def resolve_prediction_evidence(preds: DataFrame, ments: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Prediction cascade: stored source, else given evidence, else shared sentences, else all mention sentences.
 
-    ``preds``: (doc, h, t, evidence, evidence_source or null). Adds ``ids`` and ``source``.
+    ``preds``: (doc, h, t, evidence, evidence_source or null) and, if texts were stored, ``stored_texts``; texts without sentence ids
+    count as given evidence too. Adds ``ids`` and ``source``.
     """
     staged = cooccurrence(preds, ments, ids)
     stored, given = F.col("evidence_source").isNotNull(), F.size("evidence") > 0
+    if "stored_texts" in preds.columns:
+        given = given | (F.coalesce(F.size("stored_texts"), F.lit(0)) > 0)
     shared = F.size("together") > 0
     return staged.select(
         *preds.columns, *(ENDS if ids is not None else []),
@@ -82,14 +85,18 @@ def resolve_prediction_evidence(preds: DataFrame, ments: DataFrame, ids: DataFra
 def with_evidence_text(df: DataFrame, keys: list[str], sents: DataFrame, ids: str = "ids") -> DataFrame:
     """Adds ``texts``: sentence texts in the order of ``ids``; ids outside the document are dropped.
 
-    One pass: the rows travel with their ids, so whatever produced them is not computed a second time for a join back.
+    Rows with ``stored_texts`` keep these as they are. One pass: the rows travel with their ids, so whatever produced them is not
+    computed a second time for a join back.
     """
     rest = [c for c in df.columns if c not in keys]
     wanted = df.select("*", F.posexplode_outer(ids).alias("_pos", "sent_id"))
     found = wanted.join(sents.select("doc", "sent_id", "text"), ["doc", "sent_id"], "left")
     line = F.when(F.col("text").isNotNull(), F.struct("_pos", "text"))
-    return found.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest],
-                                    F.sort_array(F.collect_list(line)).getField("text").alias("texts"))
+    out = found.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest],
+                                   F.sort_array(F.collect_list(line)).getField("text").alias("texts"))
+    if "stored_texts" in rest:
+        out = out.withColumn("texts", F.when(F.coalesce(F.size("stored_texts"), F.lit(0)) > 0, F.col("stored_texts")).otherwise(F.col("texts")))
+    return out
 
 
 def source_counts(edges: DataFrame, column: str = "source") -> DataFrame:

@@ -28,9 +28,10 @@ def build_entities(ments: DataFrame, canon: DataFrame) -> DataFrame:
 
 
 def with_relation_name(df: DataFrame, relations: DataFrame, code: str = "r", name: str = "relation_name") -> DataFrame:
-    """Relation name from the dictionary, the code itself where it is missing."""
+    """Relation name from the dictionary; where it is missing the row's ``own_name``, if it has one, else the code itself."""
     names = relations.select(F.col("code").alias(code), F.col("name").alias("_name"))
-    return df.join(names, code, "left").withColumn(name, F.coalesce("_name", code)).drop("_name")
+    own = ["own_name"] if "own_name" in df.columns else []
+    return df.join(names, code, "left").withColumn(name, F.coalesce("_name", *own, code)).drop("_name", *own)
 
 
 def build_edges(resolved: DataFrame, relations: DataFrame, splits: DataFrame, sents: DataFrame) -> DataFrame:
@@ -47,13 +48,16 @@ def build_edges(resolved: DataFrame, relations: DataFrame, splits: DataFrame, se
         F.col("texts").alias("evidence"), F.col("source").alias("evidence_source"), is_revised(F.col("split")).alias("is_revised"))
 
 
-def build_prediction_edges(resolved: DataFrame, relations: DataFrame, model: str) -> DataFrame:
-    """Predicted edges. ``resolved``: the prediction cascade's rows with both ends' ids, confidence, band and action."""
-    rows = with_relation_name(resolved, relations)
+def build_prediction_edges(resolved: DataFrame, relations: DataFrame, model: str, sents: DataFrame) -> DataFrame:
+    """Predicted edges with their evidence texts.
+
+    ``resolved``: the prediction cascade's rows with both ends' ids, confidence, band and action; optionally ``stored_texts`` and ``own_name``.
+    """
+    rows = with_evidence_text(with_relation_name(resolved, relations), ["doc", "h", "t", "r"], sents)
     return rows.select(
         "head_id", "tail_id", F.col("r").alias("relation_id"), "relation_name",
         relation_slug(F.col("relation_name")).alias("relation_type"), "confidence",
-        F.lit("predicted").alias("split"), F.col("doc").alias("document"), F.col("ids").alias("sentence_id"),
+        F.lit("predicted").alias("split"), F.col("doc").alias("document"), F.col("ids").alias("sentence_id"), F.col("texts").alias("evidence"),
         F.col("source").alias("evidence_source"), F.lit(False).alias("is_revised"), F.lit(model).alias("model"),
         F.col("band").alias("filter_band"), F.col("action").alias("filter_action"))
 

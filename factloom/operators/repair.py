@@ -186,17 +186,14 @@ def demonym_candidates(named_edges: DataFrame, entities: DataFrame, demonyms: Da
     places = entities.filter("type = 'LOC'").groupBy(F.col("name").alias("place")).agg(F.min("id").alias("canonical_id"))
     known = demonyms.join(places, "place").select("demonym", "canonical_id")
     geo = named_edges.filter(F.col("relation_type").isin(*GEO_RELATIONS))
-    # tail first: an edge takes its head only when the tail is no demonym at all
-    listed = demonyms.select("demonym")
-    is_tail = geo.filter("tail_type = 'LOC'").join(listed.withColumnRenamed("demonym", "tail_name"), "tail_name", "left_semi")
-    rest = geo.join(is_tail.select("edge_id"), "edge_id", "left_anti").filter("head_type = 'LOC'")
-
-    def at(rows: DataFrame, side: str) -> DataFrame:
-        return rows.withColumn("wrong_name", F.col(f"{side}_name")).join(
-            known.withColumnRenamed("demonym", "wrong_name"), "wrong_name").withColumn("side", F.lit(side))
-
-    columns = ["edge_id", "relation_type", "side", "wrong_name", "canonical_id", "document"]
-    return at(is_tail, "tail").select(*columns).unionByName(at(rest, "head").select(*columns))
+    # tail first: an edge takes its head only when its tail is no demonym typed LOC
+    listed = demonyms.select(F.col("demonym").alias("tail_name"), F.lit(True).alias("_listed")).distinct()
+    tail = (F.col("tail_type") == "LOC") & F.col("_listed")
+    sided = (geo.join(listed, "tail_name", "left")
+             .withColumn("side", F.when(tail, "tail").when(F.col("head_type") == "LOC", "head")).filter("side IS NOT NULL")
+             .withColumn("wrong_name", F.when(F.col("side") == "tail", F.col("tail_name")).otherwise(F.col("head_name"))))
+    return sided.join(known.withColumnRenamed("demonym", "wrong_name"), "wrong_name").select(
+        "edge_id", "relation_type", "side", "wrong_name", "canonical_id", "document")
 
 
 def parse_verdicts(batches: DataFrame) -> DataFrame:

@@ -38,20 +38,23 @@ def e3(t):
 
 
 PRED_ROWS = """
-SELECT doc, label_no, h, t, r, evidence_sent, CASE WHEN r = 'P361' AND h % 2 = 0 THEN 'inferred_bridge' END AS stored FROM oc_labels"""
+SELECT doc, label_no, h, t, r, evidence_sent, CASE WHEN r = 'P361' AND h % 2 = 0 THEN 'inferred_bridge' END AS stored,
+  CASE WHEN h % 3 = 0 AND (evidence_sent IS NOT NULL OR r = 'P176') THEN ['as stated in ' || doc, 'and once more'] END AS stored_texts FROM oc_labels"""
 PRED_RESOLVED = f"""
-SELECT p.doc, p.label_no, p.h, p.t, p.r, p.stored,
-  CASE WHEN p.stored IS NOT NULL OR p.evidence_sent IS NOT NULL THEN CASE WHEN p.evidence_sent IS NULL THEN [] ELSE [p.evidence_sent] END
+SELECT p.doc, p.label_no, p.h, p.t, p.r, p.stored, p.stored_texts,
+  CASE WHEN p.stored IS NOT NULL OR p.evidence_sent IS NOT NULL OR p.stored_texts IS NOT NULL THEN CASE WHEN p.evidence_sent IS NULL THEN [] ELSE [p.evidence_sent] END
     WHEN len(list_intersect(a.sents, b.sents)) > 0 THEN list_sort(list_intersect(a.sents, b.sents))
     ELSE list_sort(list_distinct(list_concat(a.sents, b.sents))) END AS ids,
-  CASE WHEN p.stored IS NOT NULL THEN p.stored WHEN p.evidence_sent IS NOT NULL THEN 'model_provided'
+  CASE WHEN p.stored IS NOT NULL THEN p.stored WHEN p.evidence_sent IS NOT NULL OR p.stored_texts IS NOT NULL THEN 'model_provided'
     WHEN len(list_intersect(a.sents, b.sents)) > 0 THEN 'inferred_cooccurrence' ELSE 'inferred_mention_union' END AS source
 FROM ({PRED_ROWS}) p JOIN ent_sents a ON a.doc = p.doc AND a.entity = p.h JOIN ent_sents b ON b.doc = p.doc AND b.entity = p.t"""
 
 
 def prediction_rows(t):
     stored = F.when((F.col("r") == "P361") & (F.col("h") % 2 == 0), F.lit("inferred_bridge"))
-    return t.oc_label_rows().withColumn("evidence_source", stored)
+    texts = F.when((F.col("h") % 3 == 0) & ((F.size("evidence") > 0) | (F.col("r") == "P176")),
+                   F.array(F.concat(F.lit("as stated in "), F.col("doc")), F.lit("and once more")))
+    return t.oc_label_rows().withColumn("evidence_source", stored).withColumn("stored_texts", texts)
 
 
 @query("e4_prediction_evidence", f"""

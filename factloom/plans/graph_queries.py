@@ -156,7 +156,8 @@ def s15(t):
 
 
 @query("s16_filled_predictions", f"""
-SELECT p.doc, p.label_no, array_to_string(p.ids, ',') AS sentence_id, p.source AS evidence_source, coalesce(v.texts, '') AS evidence FROM ({PRED_RESOLVED}) p
+SELECT p.doc, p.label_no, array_to_string(p.ids, ',') AS sentence_id, p.source AS evidence_source,
+  coalesce(array_to_string(p.stored_texts, ' | '), v.texts, '') AS evidence FROM ({PRED_RESOLVED}) p
 LEFT JOIN (SELECT u.doc, u.label_no, string_agg(x.text, ' | ' ORDER BY u.pos) AS texts FROM (
     SELECT doc, label_no, unnest(ids) AS sent_id, generate_subscripts(ids, 1) AS pos FROM ({PRED_RESOLVED})) u
   JOIN oc_sentences x ON x.doc = u.doc AND x.sent_id = u.sent_id GROUP BY u.doc, u.label_no) v ON v.doc = p.doc AND v.label_no = p.label_no""")
@@ -164,7 +165,7 @@ def s16(t):
     rows = ev.resolve_prediction_evidence(prediction_rows(t), t.oc_mentions)
     key = F.concat_ws("#", "doc", "label_no")
     origin = ev.with_evidence_text(rows, ["doc", "label_no"], t.oc_sentence_rows()).select(key.alias("key"), "ids", "texts", F.col("source").alias("origin"))
-    triples = prediction_rows(t).select("doc", "label_no", key.alias("key"), "evidence", "evidence_source", F.struct(
+    triples = prediction_rows(t).select("doc", "label_no", key.alias("key"), F.col("stored_texts").alias("evidence"), "evidence_source", F.struct(
         F.col("doc").cast("string").alias("document_id"), F.col("evidence").alias("sentence_id"), F.lit(False).alias("is_revised")).alias("source"))
     return writers.fill_prediction_evidence(triples, origin, "key").select(
         "doc", "label_no", joined(F.col("source.sentence_id")).alias("sentence_id"), "evidence_source", F.array_join("evidence", " | ").alias("evidence"))
@@ -182,11 +183,8 @@ SELECT relation_type, count(*) AS n_edges, count(*) FILTER (confidence < 0.5) AS
   SELECT head_id, relation_type, tail_id, document, CASE WHEN relation_type = 'MANUFACTURER' THEN 0.25e0 ELSE confidence END AS confidence FROM tg_edges
   UNION ALL SELECT c_name || '::ORG', 'SEGMENT', c_mktsegment || '::MISC', 'customer-' || c_custkey, 0.4e0 FROM customer) GROUP BY relation_type""")
 def s18(t):
-    import tempfile
-    from factloom.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(t.spark)
-    shared = t.spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{shared}/graph-{tempfile.mktemp(dir='').strip('/')}"
+    from factloom.session import shared_folder
+    path = shared_folder(t.spark, "graph")
     seq = F.xxhash64(*g.EDGE_KEY)
     base = t.tg_edges.select(*g.EDGE_KEY, "confidence").withColumn("seq", seq)
     writers.write_graph(t.tg_entities, base, path, "rebuild")
@@ -224,13 +222,16 @@ def g3(t):
 
 
 PRED_EDGES = """
-SELECT ch.name || '::' || ch.type AS head_id, ct.name || '::' || ct.type AS tail_id, p.r AS relation_id, coalesce(ri.name, p.r) AS relation_name,
-  round(1 / (1 + exp(-p.margin)), 4) AS confidence, p.doc AS document,
-  array_to_string(CASE WHEN len(list_intersect(a.sents, b.sents)) > 0 THEN list_sort(list_intersect(a.sents, b.sents))
-    ELSE list_sort(list_distinct(list_concat(a.sents, b.sents))) END, ',') AS sentence_id,
-  CASE WHEN len(list_intersect(a.sents, b.sents)) > 0 THEN 'inferred_cooccurrence' ELSE 'inferred_mention_union' END AS evidence_source
-FROM decoded_a p JOIN canon ch ON ch.doc = p.doc AND ch.entity = p.h JOIN canon ct ON ct.doc = p.doc AND ct.entity = p.t
-JOIN ent_sents a ON a.doc = p.doc AND a.entity = p.h JOIN ent_sents b ON b.doc = p.doc AND b.entity = p.t LEFT JOIN rel_info ri ON ri.code = p.r"""
+SELECT head_id, tail_id, relation_id, relation_name, confidence, document, array_to_string(ids, ',') AS sentence_id, evidence_source,
+  array_to_string(list_transform(ids, lambda x: all_texts[x + 1]), ' | ') AS evidence FROM (
+  SELECT ch.name || '::' || ch.type AS head_id, ct.name || '::' || ct.type AS tail_id, p.r AS relation_id, coalesce(ri.name, p.r) AS relation_name,
+    round(1 / (1 + exp(-p.margin)), 4) AS confidence, p.doc AS document,
+    CASE WHEN len(list_intersect(a.sents, b.sents)) > 0 THEN list_sort(list_intersect(a.sents, b.sents))
+      ELSE list_sort(list_distinct(list_concat(a.sents, b.sents))) END AS ids,
+    CASE WHEN len(list_intersect(a.sents, b.sents)) > 0 THEN 'inferred_cooccurrence' ELSE 'inferred_mention_union' END AS evidence_source
+  FROM decoded_a p JOIN canon ch ON ch.doc = p.doc AND ch.entity = p.h JOIN canon ct ON ct.doc = p.doc AND ct.entity = p.t
+  JOIN ent_sents a ON a.doc = p.doc AND a.entity = p.h JOIN ent_sents b ON b.doc = p.doc AND b.entity = p.t LEFT JOIN rel_info ri ON ri.code = p.r) e
+JOIN (SELECT doc, list(text ORDER BY sent_id) AS all_texts FROM oc_sentences GROUP BY doc) x ON x.doc = e.document"""
 
 
 def prediction_edges(t):
@@ -240,14 +241,15 @@ def prediction_edges(t):
     rows = ev.resolve_prediction_evidence(preds, t.oc_mentions, g.with_entity_ids(dm.canonical(t.oc_mentions)))
     band = confidence_band(F.col("confidence"), 0.95, 0.80)
     rows = rows.withColumn("band", band).withColumn("action", F.when(F.col("band") == "high", "pass"))
-    return g.build_prediction_edges(rows, t.rel_info, "run-a")
+    return g.build_prediction_edges(rows, t.rel_info, "run-a", t.oc_sentence_rows())
 
 
 @query("g4_prediction_edges", f"""
 SELECT *, CASE WHEN confidence >= 0.95 THEN 'high' WHEN confidence >= 0.8 THEN 'mid' ELSE 'low' END AS filter_band, 'run-a' AS model FROM ({PRED_EDGES})""")
 def g4(t):
     return prediction_edges(t).select("head_id", "tail_id", "relation_id", "relation_name", "confidence", "document",
-                                      joined(F.col("sentence_id")).alias("sentence_id"), "evidence_source", "filter_band", "model")
+                                      joined(F.col("sentence_id")).alias("sentence_id"), "evidence_source",
+                                      F.array_join("evidence", " | ").alias("evidence"), "filter_band", "model")
 
 
 @query("g5_relation_slug", f"""
@@ -269,17 +271,18 @@ def g6(t):
 
 # gold edges, then the same run again together with predicted edges: predictions overwrite gold on equal keys
 @query("g7_upsert_edges", f"""
-SELECT head_id, relation_name, tail_id, document, confidence, evidence_source FROM (
-  SELECT head_id, relation_name, tail_id, document, confidence, evidence_source, 0 AS batch, label_no AS seq FROM gold_edges
-  UNION ALL SELECT head_id, relation_name, tail_id, document, confidence, evidence_source, 1, 1000000 * confidence + 0 FROM ({PRED_EDGES}))
-QUALIFY row_number() OVER (PARTITION BY head_id, relation_name, tail_id, document ORDER BY batch DESC, seq DESC, evidence_source DESC) = 1""")
+SELECT head_id, relation_name, tail_id, document, confidence, evidence_source, evidence FROM (
+  SELECT head_id, relation_name, tail_id, document, confidence, evidence_source, coalesce(array_to_string(texts, ' | '), '') AS evidence, 0 AS batch, label_no AS seq FROM gold_edges
+  UNION ALL SELECT head_id, relation_name, tail_id, document, confidence, evidence_source, evidence, 1, 1000000 * confidence + 0 FROM ({PRED_EDGES}))
+QUALIFY row_number() OVER (PARTITION BY head_id, relation_name, tail_id, document ORDER BY batch DESC, seq DESC, evidence_source DESC, evidence DESC) = 1""")
 def g7(t):
-    cols = [*g.EDGE_KEY, "relation_name", "confidence", "evidence_source"]
-    gold = corpus_edges(t).select(*cols, F.struct(F.col("label_no").cast("double").alias("n"), "evidence_source").alias("seq"))
-    preds = prediction_edges(t).select(*cols, F.struct((1e6 * F.col("confidence")).alias("n"), "evidence_source").alias("seq"))
+    cols = [*g.EDGE_KEY, "relation_name", "confidence", "evidence_source", F.array_join("evidence", " | ").alias("evidence")]
+    last = F.struct("n", "evidence_source", "evidence").alias("seq")
+    gold = corpus_edges(t).select(*cols, F.col("label_no").cast("double").alias("n")).select("*", last).drop("n")
+    preds = prediction_edges(t).select(*cols, (1e6 * F.col("confidence")).alias("n")).select("*", last).drop("n")
     once = g.upsert_edges(gold, preds)
     twice = g.upsert_edges(once, preds)
-    return twice.select("head_id", "relation_name", "tail_id", "document", "confidence", "evidence_source")
+    return twice.select("head_id", "relation_name", "tail_id", "document", "confidence", "evidence_source", "evidence")
 
 
 @query("g8_upsert_entities", """
