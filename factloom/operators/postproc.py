@@ -73,6 +73,20 @@ def denoise(labs: DataFrame, preds: DataFrame) -> DataFrame:
     return labs.join(preds.select(*PAIR, "r").distinct(), [*PAIR, "r"], "left_semi")
 
 
+def denoised_pairs(labs: DataFrame, preds: DataFrame, class_ids: DataFrame) -> DataFrame:
+    """Per labelled pair the sorted class ids of its surviving labels; ``[0]`` where none survives, so no pair gets lost."""
+    found = labs.join(preds.select(*PAIR, "r").distinct().withColumn("_hit", F.lit(True)), [*PAIR, "r"], "left")
+    kept = found.join(class_ids.select(F.col("code").alias("r"), "class_id"), "r").groupBy(*PAIR).agg(
+        F.sort_array(F.collect_set(F.when(F.col("_hit"), F.col("class_id")))).alias("ids"))
+    return kept.select(*PAIR, F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array(F.lit(0))).alias("class_ids"))
+
+
+def denoise_counts(labs: DataFrame, preds: DataFrame) -> DataFrame:
+    """How many labels the model's predictions keep and drop."""
+    found = labs.join(preds.select(*PAIR, "r").distinct().withColumn("_hit", F.lit(True)), [*PAIR, "r"], "left")
+    return found.agg(F.count("_hit").alias("n_kept"), (F.count("*") - F.count("_hit")).alias("n_dropped"))
+
+
 def confidence_band(conf: Column, high: float, low: float) -> Column:
     return F.when(conf >= high, "high").when(conf >= low, "mid").otherwise("low")
 
@@ -159,3 +173,11 @@ def transition(a: DataFrame, b: DataFrame, gold: DataFrame) -> DataFrame:
     in_a, in_b = F.col("in_a").isNotNull(), F.col("in_b").isNotNull()
     kind = F.when(in_a & in_b, "both").when(in_b, "rescued").when(in_a, "lost").otherwise("neither")
     return flags.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def net_gain(outcomes: DataFrame) -> DataFrame:
+    """Rescued less lost gold triples of a transition table."""
+    def n(kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("outcome") == kind, F.col("n"))), F.lit(0))
+
+    return outcomes.agg(n("rescued").alias("rescued"), n("lost").alias("lost"), (n("rescued") - n("lost")).alias("net_gain"))

@@ -86,6 +86,22 @@ def m5(t):
     return pp.denoise(t.oc_labels.select("doc", "label_no", "h", "t", "r"), decoded(t, "logit_b")).select("doc", "label_no", "h", "t", "r")
 
 
+@query("m5_denoised_pairs", """
+SELECT l.doc, l.h, l.t, coalesce(array_to_string(list_sort(list(DISTINCT i.class_id) FILTER (d.r IS NOT NULL)), ','), '0') AS class_ids
+FROM oc_labels l JOIN rel_ids i ON i.code = l.r LEFT JOIN decoded_b d ON d.doc = l.doc AND d.h = l.h AND d.t = l.t AND d.r = l.r
+GROUP BY l.doc, l.h, l.t""")
+def m5_pairs(t):
+    out = pp.denoised_pairs(t.oc_labels.select("doc", "h", "t", "r"), decoded(t, "logit_b"), t.rel_ids)
+    return out.select("doc", "h", "t", F.array_join("class_ids", ",").alias("class_ids"))
+
+
+@query("m5_denoise_counts", """
+SELECT count(d.r) AS n_kept, count(*) - count(d.r) AS n_dropped
+FROM oc_labels l LEFT JOIN decoded_b d ON d.doc = l.doc AND d.h = l.h AND d.t = l.t AND d.r = l.r""")
+def m5_counts(t):
+    return pp.denoise_counts(t.oc_labels.select("doc", "h", "t", "r"), decoded(t, "logit_b"))
+
+
 CONF = "round(1 / (1 + exp(-margin)), 4)"
 
 
@@ -228,6 +244,15 @@ def m13(t):
     return pp.transition(decoded(t), decoded(t, "logit_b"), t.oc_labels)
 
 
+@query("m13_net_gain", """
+SELECT count(*) FILTER (a.r IS NULL AND b.r IS NOT NULL) AS rescued, count(*) FILTER (a.r IS NOT NULL AND b.r IS NULL) AS lost,
+  count(*) FILTER (a.r IS NULL AND b.r IS NOT NULL) - count(*) FILTER (a.r IS NOT NULL AND b.r IS NULL) AS net_gain
+FROM gold g LEFT JOIN decoded_a a ON a.doc = g.doc AND a.h = g.h AND a.t = g.t AND a.r = g.r
+LEFT JOIN decoded_b b ON b.doc = g.doc AND b.h = g.h AND b.t = g.t AND b.r = g.r""")
+def m13_net(t):
+    return pp.net_gain(pp.transition(decoded(t), decoded(t, "logit_b"), t.oc_labels))
+
+
 # --- scoring -----------------------------------------------------------------------------------------------------
 # predictions of one unknown document per customer stay in the precision denominator
 PREDS = "SELECT doc, h, t, r FROM decoded_a UNION ALL SELECT -1 - c_custkey, 0, 1, 'P17' FROM customer"
