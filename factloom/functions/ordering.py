@@ -6,8 +6,6 @@ helpers split the order into blocks, aggregate per block, and carry the block to
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,10 +19,6 @@ def _before(window: W, column: Column) -> Column:
     return F.coalesce(F.sum(column).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def running_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str,
                   block: int = BLOCK) -> DataFrame:
     """Sum of ``value`` over the rows before this one, per ``keys``, by the integer column ``order``."""

@@ -240,7 +240,7 @@ def select_run(history: DataFrame, patience: int) -> DataFrame:
     return stop.join(best, "run").select("run", "stop_epoch", "stopped_early", F.col("b.epoch").alias("best_epoch"), F.col("b.f1").alias("best_f1"))
 
 
-def accepted(score_col: str, target: float, share: float = 0.9) -> Column:
+def accepted(score_col: str, target: float | Column, share: float = 0.9) -> Column:
     """Acceptance rule: at least ``share`` of the published figure."""
     return F.col(score_col) >= share * target
 

@@ -133,8 +133,3 @@ def ends_joined(edges: DataFrame, entities: DataFrame) -> DataFrame:
                                    F.col("type").alias("head_type")), "head_id")
             .join(ends.select(F.col("id").alias("tail_id"), F.col("name").alias("tail_name"),
                               F.col("type").alias("tail_type")), "tail_id"))
-
-
-def matches_slug(name: Column) -> Column:
-    from factloom.schemas import TYPE_NAME_PATTERN
-    return relation_slug(name).rlike(TYPE_NAME_PATTERN)

@@ -20,10 +20,6 @@ HIT = [*MENTION, "id", "name", "type"]
 _WORD = "[a-z0-9_]"
 
 
-def _first_k(hits: DataFrame, k: int) -> DataFrame:
-    return top_per_group(hits.select(*HIT).dropDuplicates([*MENTION, "id"]), MENTION, [F.asc("id")], k).drop("rank")
-
-
 def _asked(mentions: DataFrame) -> DataFrame:
     """Distinct mention strings: equal mentions of many questions are matched once."""
     return mentions.select("mention").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from factloom.functions.text import strip_legal_suffix, value_key
 from factloom.operators.graph import EDGE_KEY, latest_per_key
-from factloom.schemas import DEMONYMS, ENTITY_TYPES, FUNCTIONAL_FOR_MERGE, FUNCTIONAL_RELATIONS, GEO_RELATIONS, HIERARCHY_RELATIONS
+from factloom.schemas import ENTITY_TYPES, FUNCTIONAL_FOR_MERGE, FUNCTIONAL_RELATIONS, GEO_RELATIONS, HIERARCHY_RELATIONS
 from factloom.session import checkpointed
 
 
@@ -173,7 +173,7 @@ def apply_merges(entities: DataFrame, edges: DataFrame, plan: DataFrame, key: st
 
 
 # --- wrongly linked demonyms -------------------------------------------------------------------------------------
-def demonym_table(spark: SparkSession, mapping: Mapping[str, str] = DEMONYMS) -> DataFrame:
+def demonym_table(spark: SparkSession, mapping: Mapping[str, str]) -> DataFrame:
     schema = T.StructType([T.StructField("demonym", T.StringType()), T.StructField("place", T.StringType())])
     return spark.createDataFrame(sorted(mapping.items()), schema)
 

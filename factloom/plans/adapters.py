@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.session import stored
+
 BASE_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
                "labels conversations").split()
 
@@ -273,11 +275,11 @@ _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 class Tables:
     """The given tables of one folder and the views over them, as DataFrames.
 
-    Views that many queries read are persisted once per application and folder (memory, then disk), as an ingest job
-    would write them to storage; their partitioning by document is kept, so document joins reuse it.
+    Views that many queries read are written once per application and folder to the shared folder, as an ingest job would
+    write them to storage; nothing is pinned in executors, and a lost executor loses none of it.
     """
 
-    PERSISTED = ("oc_items", "oc_mentions", "oc_labels", "oc_tokens", "pl_logits", "tg_edges", "tg_entities")
+    STORED = ("oc_items", "oc_mentions", "oc_labels", "oc_tokens", "pl_logits", "tg_edges", "tg_entities")
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -302,11 +304,11 @@ class Tables:
             return self.table(name)
         if name not in VIEWS:
             raise AttributeError(name)
-        if name not in self.PERSISTED:
+        if name not in self.STORED:
             return self._build(name)
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _KEPT:
-            _KEPT[key] = self._build(name).persist()
+            _KEPT[key] = stored(self._build(name), name)
         return _KEPT[key]
 
     def _build(self, name: str) -> DataFrame:

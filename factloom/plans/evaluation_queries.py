@@ -473,7 +473,7 @@ def v16(t):
     rows = ev.score(predictions(t), t.oc_labels).withColumn("system", F.lit("run a")).unionByName(
         ev.score(decoded(t, "logit_b"), t.oc_labels).withColumn("system", F.lit("run b")))
     out = ev.compare_runs(rows.select("system", "precision", "recall", "f1"), "run a", ["f1"])
-    out = out.withColumn("accepted", F.col("f1") >= 0.9 * (F.col("f1") - F.col("delta_f1")))
+    out = out.withColumn("accepted", ev.accepted("f1", F.col("f1") - F.col("delta_f1")))
     return rounded(out, "precision", "recall", "f1").withColumn("delta_f1", F.round("delta_f1", 6))
 
 

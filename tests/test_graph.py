@@ -162,7 +162,7 @@ def test_topology_gate_and_demonyms(spark):
     nodes = spark.createDataFrame([("French", "French", "LOC"), ("x", "x", "ORG"), ("France::LOC", "France", "LOC"), ("A", "A", "ORG"), ("A Inc.", "A Inc.", "ORG")],
                                   "id string, name string, type string")
     named = g.ends_joined(edges.withColumn("edge_id", F.concat_ws(">", "head_id", "tail_id")).withColumn("document", F.lit("d")), nodes)
-    found = rp.demonym_candidates(named, nodes, rp.demonym_table(spark))
+    found = rp.demonym_candidates(named, nodes, rp.demonym_table(spark, {"German": "Germany", "Indian": "India", "Dutch": "Netherlands", "French": "France"}))
     assert {(r["edge_id"], r["side"], r["canonical_id"]) for r in found.collect()} == {("x>French", "tail", "France::LOC"), ("French>x", "head", "France::LOC")}
     verdicts = spark.createDataFrame([("x>French", "yes")], "edge_id string, verdict string")
     moved, rest = rp.repoint(named.select("edge_id", "head_id", "tail_id"), found, verdicts)
