@@ -113,3 +113,30 @@ def test_global_positions_are_dense(spark):
     assert all(r["id"] == r["position"] for r in got)
     total = running_total(df, ["k"], "id", F.lit(2), "before", block=64).select("id", "before").collect()
     assert all(r["before"] == 2 * r["id"] for r in total)
+
+
+def test_windows_cover_every_position(spark):
+    rows = spark.createDataFrame([(n, n) for n in (0, 1, 4, 5, 8, 9, 13, 100)], "doc int, n_tokens int")
+    spans = {}
+    for r in dm.overlap_windows(rows, 4).collect():
+        spans.setdefault(r["doc"], []).append((r["window"], r["start"], r["end"]))
+    assert spans[0] == [(0, 0, 0)] and spans[4] == [(0, 0, 4)] and spans[5] == [(0, 0, 4), (1, 1, 5)] and spans[8] == [(0, 0, 4), (1, 4, 8)]
+    for n, found in spans.items():
+        assert {p for _, a, b in found for p in range(a, b)} == set(range(n)) and [w for w, _, _ in found] == list(range(len(found)))
+
+
+def test_stored_texts_stay(spark, docs):
+    schema = "doc string, label_no int, h int, t int, evidence array<int>, evidence_source string, stored_texts array<string>"
+    preds = spark.createDataFrame([("given", 0, 0, 1, [], None, ["as edited"]), ("given", 1, 0, 1, [1], None, []), ("given", 2, 0, 2, [], None, None)], schema)
+    rows = ev.with_evidence_text(ev.resolve_prediction_evidence(preds, dm.mentions(docs)), ["doc", "label_no"], dm.sentences(docs))
+    got = {r["label_no"]: (r["ids"], r["source"], r["texts"]) for r in rows.collect()}
+    assert got[0] == ([], "model_provided", ["as edited"])
+    assert got[1] == ([1], "model_provided", ["Lovelace Works sits in York ."])
+    assert got[2][1].startswith("inferred") and got[2][0] == [0, 1] and len(got[2][2]) == 2
+
+
+def test_json_lines_limit_follows_the_file(spark, tmp_path):
+    lines = [json.dumps({"id": str(i), "text": "t", "metadata": {"document": "d"}}) for i in range(50)]
+    (tmp_path / "r.jsonl").write_text("\n".join(lines))
+    records, _ = readers.read_jsonl(spark, str(tmp_path / "r.jsonl"), limit=7)
+    assert sorted(int(r["id"]) for r in records.collect()) == list(range(7))
