@@ -48,3 +48,25 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int, by: str | None = None,
     for value, n in counts.items():
         keep = F.when(F.col(by) == F.lit(value), hashed < F.lit(int((1 << 30) * min(1.0, rows / n)))).otherwise(keep)
     return df.filter(keep)
+
+
+BUCKETS = 1 << 20
+
+
+def _hit(df: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``df`` whose id falls into one of the hash buckets of ``ids`` (or into none): a broadcast of at most ``BUCKETS`` numbers."""
+    bucket = F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(BUCKETS))
+    used = ids.select(F.pmod(F.xxhash64(ids[ids.columns[0]].cast("bigint")), F.lit(BUCKETS)).alias("_bucket")).distinct()
+    return df.withColumn("_of", bucket).join(F.broadcast(used), F.col("_of") == F.col("_bucket"), how).drop("_of")
+
+
+def with_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id is in the stored one-column table ``ids``. Only rows in a bucket of ``ids`` are shuffled."""
+    some = _hit(df, id_col, ids, "left_semi")
+    return some.join(ids.toDF("_wanted"), some[id_col] == F.col("_wanted"), "left_semi")
+
+
+def without_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id is not in the stored one-column table ``ids``, those with a null id among them; shuffles as ``with_ids``."""
+    some = _hit(df, id_col, ids, "left_semi")
+    return _hit(df, id_col, ids, "left_anti").unionByName(some.join(ids.toDF("_wanted"), some[id_col] == F.col("_wanted"), "left_anti"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_type, documents, map_rows
+from factloom.llm.common import arrow_type, documents, map_rows, with_ids, without_ids
 from factloom.llm.components import components
 from factloom.session import stored
 
@@ -276,7 +276,7 @@ def classes(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
     up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda k: name(s, o, s + 1, k))).otherwise(none)
     down = F.when(F.col("under").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("under") - 1), lambda k: name(s - 1, k, s, o))).otherwise(none)
     tiles = one.union(many.select("node", "root", F.explode(F.concat(same, up, down)).alias("tile")))
-    needed = docs.join(sized.select(F.col("node").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
+    needed = with_ids(docs, "doc_id", sized.select("node")).dropDuplicates(["doc_id"])
     gathered = tiles.join(needed, tiles["node"] == needed["doc_id"]).select("root", "tile", "doc_id", "text")
     links = gathered.repartition("root", "tile").sortWithinPartitions("root", "tile", "doc_id").mapInArrow(partial(_verify, similarity=similarity), "a bigint, b bigint")
     joined = components(links)
@@ -289,5 +289,5 @@ def classes(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
 
 def keep_one(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without near duplicates: of each group the smallest id stays, as it is; rows with a null id stay."""
-    gone = classes(df, similarity, id_col, text_col).filter("group_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    gone = stored(classes(df, similarity, id_col, text_col).filter("group_id <> doc_id").select("doc_id"), "gone")
+    return without_ids(df, id_col, gone)
