@@ -12,6 +12,7 @@ import functools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -248,3 +249,14 @@ def score(df: DataFrame, fitted: Fitted, threshold: float = 0.7, id_col: str = "
         return {"doc_id": batch.column("doc_id").to_pylist(), "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
     return map_rows(documents(df, id_col, text_col), "doc_id bigint, score double, predicted int", run)
+
+
+def keep_clean(df: DataFrame, fitted: Fitted, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text scores below ``threshold``, as they are; one pass, nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = scorer(fitted).score
+        for batch in batches:
+            yield batch.filter(pa.array([one(t or "") < threshold for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

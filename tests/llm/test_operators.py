@@ -290,6 +290,8 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r for r in toxicity.score(df, fitted).collect()}
     assert all(got[i]["predicted"] == labels[i] for i in range(400))
     assert [got[400 + k]["predicted"] for k in range(8)] == [0, 0, 1, 1, 1, 0, 0, 0] and all(0 <= r["score"] <= 1 for r in got.values())
+    clean = toxicity.keep_clean(df, fitted)
+    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {i for i, r in got.items() if not r["predicted"]}
     assert {r["score"] for r in toxicity.score(df.limit(3), toxicity.fit(df, table.limit(0))).collect()} == {0.5}
     assert toxicity.score(df.limit(0), fitted).count() == 0
 
