@@ -9,6 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable[[], object]):
+    """One model for each worker process: it stays until another is asked for, so the models of a job's stages do not add up in a reused worker."""
+    if _HELD.get("key") != key:
+        _HELD.clear()
+        _HELD.update(key=key, model=make())
+    return _HELD["model"]
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """``doc_id`` (long) and ``text`` (null: empty) of ``df``; all other columns go, so none can clash."""
     return df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),

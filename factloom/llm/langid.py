@@ -8,7 +8,6 @@ at word boundaries, so the phrases of a word are counted once per worker and loo
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_sample, documents, map_rows
+from factloom.llm.common import bounded_sample, documents, held, map_rows
 
 WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -107,10 +106,9 @@ class Model:
         return self.languages[costs[0][1]], 1.0 if math.isinf(rival) else rival / (costs[0][0] + rival)
 
 
-@functools.lru_cache(maxsize=2)
 def model(texts: tuple[tuple[str, str], ...]) -> Model:
     """One set of automata per worker process."""
-    return Model(dict(texts))
+    return held(("languages", texts), lambda: Model(dict(texts)))
 
 
 def labelled_texts(train: DataFrame, rows: int, letters: int) -> tuple[tuple[str, str], ...]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_type, documents, map_rows, with_ids, without_ids
+from factloom.llm.common import arrow_type, documents, held, map_rows, with_ids, without_ids
 from factloom.llm.components import components
 from factloom.session import stored
 
@@ -40,21 +40,18 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
 
 
-HASHES = Words()
-
-
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """The sorted hashes of all runs of ``words`` words (lower case, cut at white space), with repeats. A shorter text is one run; one without a word has none."""
     tokens = text.lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(held("words", Words).__getitem__, tokens), np.uint64, len(tokens))
     n = max(1, len(h) - words + 1)
     out = np.full(n, min(len(h), words), np.uint64)
     for k in range(min(words, len(h))):

@@ -7,12 +7,13 @@ different piece, and a dictionary of bounded size keeps its ids as bytes; a text
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import struct
 from collections.abc import Callable
 
+from factloom.llm.common import held
+
 #: A text with these goes to the library whole: strings of special tokens, and controls that only Python takes for space.
 WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 LONGEST = 64
@@ -89,7 +90,6 @@ class Encoder:
         return [self._text(text or "") for text in texts]
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str, pieces: str | None) -> Encoder:
     """One encoder per worker process."""
-    return Encoder(path, pieces)
+    return held(("tokens", path, pieces), lambda: Encoder(path, pieces))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_sample, documents, map_rows
+from factloom.llm.common import bounded_sample, documents, held, map_rows
 from factloom.session import stored
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -51,7 +51,7 @@ class Characters:
         for gram, n in grams.items():
             above[gram[:-1]] += n
         self.grams, self.above = grams, above
-        self.bits = functools.lru_cache(maxsize=200_000)(self._bits)
+        self.bits = functools.lru_cache(maxsize=50_000)(self._bits)
 
     def _bits(self, before: str, letter: str) -> float:
         p = 1e-4
@@ -112,7 +112,7 @@ class Fitted:
 
 
 class Scorer:
-    def __init__(self, fitted: Fitted, keep: int = 400_000):
+    def __init__(self, fitted: Fitted, keep: int = 200_000):
         self.characters, self.weights, self.bias, self.keep = Characters(dict(fitted.words)), dict(fitted.weights), fitted.bias, keep
         self.alone = dict(fitted.alone)
         self.restored: dict[str, str] = {}
@@ -160,9 +160,8 @@ class Scorer:
         return max([1 / (1 + math.exp(-max(-40.0, min(40.0, logit)))), *(self.alone[f] for f in features if f in self.alone)])
 
 
-@functools.lru_cache(maxsize=2)
 def scorer(fitted: Fitted) -> Scorer:
-    return Scorer(fitted)
+    return held(("toxicity", fitted), lambda: Scorer(fitted))
 
 
 def _counts(rows: DataFrame, fitted: Fitted, only: frozenset[str] | None) -> DataFrame:
