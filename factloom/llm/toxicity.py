@@ -1,8 +1,8 @@
 """Op 7. Toxicity by noisy-channel deobfuscation.
 
-Suspicious spans (letters mixed with look-alike digits and signs, letters spelt out with separators, letters repeated three times or
-more) become character lattices: a sign may stand for a letter, a separator for nothing or a space, a repeated letter for
-nothing. Viterbi decoding under a trigram character model picks the likeliest restored text. A sparse logistic model over
+Suspicious spans (letters beside look-alike digits and signs, letters spelt out with separators, fragments joined by separators,
+words with a repeated letter) become character lattices: a sign may stand for a letter, a separator for nothing or a space, a repeated
+letter for nothing. Fragments set apart by white space only are decoded where together they make a word or beginning that has a weight. Viterbi decoding under a trigram character model picks the likeliest restored text. A sparse logistic model over
 the words of the text and of its restored spans, and over their beginnings, gives the score.
 """
 
@@ -27,14 +27,17 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: What a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
          "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c"}
-SIGNS, GAPS = "0-9@$!|+€£(", " ._*~-"
-LONGEST = 48  # a mixed span that is longer is a key or an address, not a word; spelt-out spans have no limit
-BITS = {"sign": 2.0, "gap": 0.3, "space": 7.0, "wide": 0.5, "repeat": 1.0, "stray": 7.0, "dropped": 14.0, "any": 3.0}
-MIXED = re.compile(rf"[^\W\d_][{SIGNS}*]+[^\W\d_]|(?<![^\s])[{SIGNS}]{{1,3}}[^\W\d_]{{2}}|[^\W\d_]{{2}}[013457@$|](?![^\s.,!?])")
+SIGNS = "0-9@$!|+€£("
+BITS = {"sign": 2.0, "gap": 0.3, "space": 7.0, "wide": 0.5, "repeat": 1.0, "double": 4.0, "stray": 7.0, "dropped": 14.0, "any": 3.0, "join": 3.0, "apart": 1.0}
 TOKEN = re.compile(rf"[{SIGNS}*\w]+")
 TAIL = re.compile(rf"(?:[*(!|+]+|([{SIGNS}*_])\1+)$")  # signs that end a word without meaning a letter
-REPEATED = re.compile(r"([^\W\d_])\1\1")
-SPELT = re.compile(rf"(?<!\w)[\w@$!|+](?:[{GAPS}]{{1,3}}[\w@$!|+]){{2,}}(?!\w)")
+LETTER = re.compile(r"[^\W\d_]")
+ENDING = re.compile(r"[*(!|+_]+$")  # of these, the ones that look like no doubled letter
+REPEATED = re.compile(r"([^\W\d_])\1")
+SPELT = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:(?:[^\w@$!|+]|_)+(?:[^\W_]|[@$!|+])){2,}(?![^\W_])")
+#: Fragments on both sides of separators, without white space between them.
+JOINED = re.compile(rf"[{SIGNS}\w]+(?:[^\w\s{SIGNS}]+[{SIGNS}\w]+)+")
+LONGEST_KEPT = 64  # longer spans are decoded, but not kept in memory
 
 
 class Characters:
@@ -62,6 +65,17 @@ class Characters:
         return -math.log2(p)
 
 
+def _gap(sign: str) -> bool:
+    return bool(sign) and not sign.isalnum() and sign not in LOOKS
+
+
+def _whole(span: str, k: int) -> bool:
+    """Whether a fragment of two or more signs borders the single separator ``span[k]`` on one side, and letters both."""
+    before, after = span[max(0, k - 2):k], span[k + 1:k + 3]
+    return span[k] != "*" and bool(before and after) and not _gap(before[-1]) and not _gap(after[0]) and \
+        (len(before) == 2 and not _gap(before[0]) or len(after) == 2 and not _gap(after[1]))
+
+
 def restore(span: str, model: Characters) -> str:
     """The likeliest text behind ``span`` (lower case): Viterbi over its lattice, a state being the last two letters put out."""
     states: dict[str, tuple[float, tuple]] = {"  ": (0.0, ())}
@@ -70,9 +84,11 @@ def restore(span: str, model: Characters) -> str:
         if sign.isalpha():
             options.append((sign, 0.0))
             if k and span[k - 1] == sign:
-                options.append(("", BITS["repeat"]))
-        elif sign in GAPS:
-            options += [("", BITS["gap"]), (" ", BITS["wide" if k and span[k - 1] in GAPS or sign == " " and span[k + 1:k + 2] in GAPS else "space"])]
+                options.append(("", BITS["repeat" if span[k - 2:k - 1] == sign or span[k + 1:k + 2] == sign else "double"]))
+        elif _gap(sign):
+            whole = _whole(span, k)  # a piece of a word, not one letter, stands before or after
+            wide = k and _gap(span[k - 1]) or sign == " " and _gap(span[k + 1:k + 2])
+            options += [("", BITS["join" if whole else "gap"]), (" ", BITS["apart" if whole else "wide" if wide else "space"])]
             if sign == "*":
                 options += [(letter, BITS["any"]) for letter in "aeiou"]
         else:
@@ -115,31 +131,103 @@ class Scorer:
     def __init__(self, fitted: Fitted, keep: int = 200_000):
         self.characters, self.weights, self.bias, self.keep = Characters(dict(fitted.words)), dict(fitted.weights), fitted.bias, keep
         self.alone = dict(fitted.alone)
-        self.restored: dict[str, str] = {}
+        self.restored: dict[str, tuple[str, ...]] = {}
+        self.fragments: dict[str, bool] = {}
+        self.chunks: dict[str, tuple[str, ...]] = {}
         self.known: dict[str, tuple[str, ...]] = {}
-
-    def restore(self, span: str) -> str:
-        if span not in self.restored:
-            if len(self.restored) > self.keep // 8:
-                self.restored.clear()
-            self.restored[span] = restore(span, self.characters)
-        return self.restored[span]
+        # what fragments that white space sets apart may add up to
+        self.ends = frozenset(self.weights)
+        self.heads = frozenset(f[1:k] for f in self.weights for k in range(2, len(f)))
+        self.stems = frozenset(f[1:k] for f in self.weights for k in range(2, min(7, len(f) + 1)))
+
+    def restore(self, span: str) -> tuple[str, ...]:
+        """The words behind ``span``."""
+        found = self.restored.get(span)
+        if found is None:
+            found = tuple(WORDS.findall(restore(span, self.characters)))
+            if len(span) <= LONGEST_KEPT:
+                if len(self.restored) > self.keep // 4:
+                    self.restored.clear()
+                self.restored[span] = found
+        return found
 
     def spans(self, text: str) -> list[str]:
-        """Suspicious spans of a lower-case text."""
-        found = []
-        if MIXED.search(text) or REPEATED.search(text):
-            for token in TOKEN.findall(text):
-                token = TAIL.sub("", token)
-                if len(token) <= LONGEST and MIXED.search(token) or REPEATED.search(token):
-                    found.append(token)
-        return found + [m[0] for m in SPELT.finditer(text)]
+        """Suspicious spans of a lower-case text, but for fragments that only white space sets apart."""
+        return [s for c in set(text.split()) for s in self._inside(c)] + [m[0] for m in SPELT.finditer(text)]
+
+    def _inside(self, chunk: str) -> list[str]:
+        """Suspicious spans of a text without white space; a span that ends in repeated signs is read with and without them."""
+        out = [t for t in JOINED.findall(chunk) if LETTER.search(t)]
+        for token in TOKEN.findall(chunk):
+            for one in {TAIL.sub("", token), ENDING.sub("", token)}:
+                if LETTER.search(one) and (REPEATED.search(one) or not one.isalpha()):
+                    out.append(one)
+        return out
+
+    def chunk(self, chunk: str) -> tuple[str, ...]:
+        """The words behind a text without white space."""
+        found = self.chunks.get(chunk)
+        if found is None:
+            found = tuple({w for span in self._inside(chunk) for w in self.restore(span)})
+            if len(chunk) <= LONGEST_KEPT:
+                if len(self.chunks) > self.keep:
+                    self.chunks.clear()
+                self.chunks[chunk] = found
+        return found
+
+    def _reach(self, head: str, token: str) -> set[str]:
+        """``head`` and what ``token`` may stand for, as far as it begins or makes something that has a weight."""
+        out = {head}
+        for sign in token:
+            out = {one for h in out for letter in LOOKS.get(sign, sign) if (one := h + letter) in self.heads or self._made(one)}
+        return out
+
+    def _fragment(self, token: str) -> bool:
+        """Whether a token with signs may begin something that has a weight."""
+        if token not in self.fragments:
+            if len(self.fragments) > self.keep:
+                self.fragments.clear()
+            self.fragments[token] = LETTER.search(token) is not None and bool(self._reach("", token) & self.heads)
+        return self.fragments[token]
+
+    def _made(self, word: str) -> bool:
+        return any(f in self.ends for f in beginnings(word))
+
+    def apart(self, tokens: list[str], plain: set[str]) -> set[str]:
+        """Runs of neighbouring fragments that add up to a word or a beginning that has a weight; ``plain`` tokens are letters only."""
+        found: set[str] = set()
+        heads, odd = self.heads, {t for t in set(tokens) - plain if self._fragment(t)}
+        starts = (heads & plain) | odd
+        for i, token in enumerate(tokens[:-1]) if starts else ():
+            if token in starts and (token in odd or not tokens[i + 1].isalpha() or (token + tokens[i + 1])[:5] in self.stems):
+                reached, k = self._reach("", token), i + 1
+                while k < len(tokens) and (reached := {r for h in reached if h in heads for r in self._reach(h, tokens[k])}):
+                    if any(map(self._made, reached)):
+                        found.add(" ".join(tokens[i:k + 1]))
+                    k += 1
+        return found
 
     def words(self, text: str) -> set[str]:
         text = text.lower()
-        out = set(WORDS.findall(text))
-        for span in self.spans(text):
-            out.update(WORDS.findall(self.restore(span)))
+        listed = TOKEN.findall(text)
+        plain = set(filter(str.isalpha, listed))
+        out = set(plain)
+        for token in set(listed) - plain:
+            out.update(WORDS.findall(token))
+        for chunk in set(text.split()) - plain:
+            out.update(self.chunk(chunk))
+        for match in SPELT.finditer(text):
+            out.update(self.restore(match[0]))
+        if self.heads:
+            for span in self.apart(listed, plain):
+                out.update(self.restore(span))
+        return out
+
+    def all_features(self, word: str) -> list[str]:
+        """The features of a word and, where a letter is repeated, of what it is without the repeat."""
+        out = beginnings(word)
+        for one in self.restore(word) if REPEATED.search(word) else ():
+            out += beginnings(one)
         return out
 
     def features(self, text: str) -> set[str]:
@@ -148,7 +236,7 @@ class Scorer:
         known, weights, out = self.known, self.weights, set()
         words = self.words(text)
         for word in [w for w in words if w not in known]:
-            known[word] = tuple(f for f in beginnings(word) if f in weights)
+            known[word] = tuple(f for f in self.all_features(word) if f in weights)
         for found in set(map(known.__getitem__, words)):
             out.update(found)
         return out
@@ -168,9 +256,9 @@ def _counts(rows: DataFrame, fitted: Fitted, only: frozenset[str] | None) -> Dat
     """How many of ``rows`` have each feature; with ``only``, of these features."""
 
     def count(batch: pa.RecordBatch) -> dict[str, list]:
-        words, seen = scorer(fitted).words, Counter()
+        one, seen = scorer(fitted), Counter()
         for text in batch.column("text").to_pylist():
-            features = {f for w in words(text) for f in beginnings(w)}
+            features = {f for w in one.words(text) for f in one.all_features(w)}
             seen.update(features if only is None else features & only)
         return {"feature": list(seen), "n": list(seen.values())}
 

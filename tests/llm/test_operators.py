@@ -392,3 +392,15 @@ def test_bounded_sample(spark):
     df = spark.range(5000).withColumn("k", F.when(F.col("id") < 4900, "big").otherwise("small"))
     assert 400 < bounded_sample(df, "id", 500).count() < 600
     assert bounded_sample(df, "id", 200, by="k").filter("k = 'small'").count() == 100
+
+
+HIDDEN = ["a$$", "a55", "idi07", "1d107", '"1diot"', '"$tupid"', "lo-ser", "lo.ser", "lo_ser", "an id iot", "st u pid", "l,o,s,e,r", "l/o/s/e/r", "l    o    s    e    r",
+          "idiioot", "y0u_are_a_m0r0n_and_a_l0s3r_" * 3, "x" * 60 + "_m0r0n"]
+
+
+def test_every_disguise_reaches_the_lattice():
+    bad = "idiot loser moron stupid ass".split()
+    counted = {w: 20 for w in bad + "the and of clown this you are a thing with other people an id".split()}
+    one = toxicity.Scorer(toxicity.Fitted(tuple(sorted(counted.items())), tuple(("=" + w, 1.0) for w in bad), 0.0))
+    assert [t for t in HIDDEN if not one.features(t)] == []
+    assert [t for t in ("a thing", "the an", "2.0 by-nc", "good", "people!!!") if one.features(t)] == []
