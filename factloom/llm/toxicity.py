@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_sample, documents, held, map_rows
+from factloom.llm.common import arrow_type, bounded_sample, documents, held, map_rows
 from factloom.session import stored
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -43,13 +43,16 @@ LONGEST_KEPT = 64  # longer spans are decoded, but not kept in memory
 class Characters:
     """Trigram costs in bits, with one space before and after each word; fewer characters of context weigh in where counts are thin."""
 
-    def __init__(self, words: dict[str, int]):
-        grams: Counter[str] = Counter()
-        for word, n in words.items():
+    def __init__(self, words: dict[str, int] | None = None, trigrams: tuple[tuple[str, int], ...] = ()):
+        counted: Counter[str] = Counter(dict(trigrams))
+        for word, n in (words or {}).items():
             padded = f"  {word} "
             for k in range(2, len(padded)):
-                for size in (0, 1, 2):
-                    grams[padded[k - size:k + 1]] += n
+                counted[padded[k - 2:k + 1]] += n
+        grams: Counter[str] = Counter()
+        for gram, n in counted.items():
+            for size in (0, 1, 2):
+                grams[gram[2 - size:]] += n
         above: Counter[str] = Counter()
         for gram, n in grams.items():
             above[gram[:-1]] += n
@@ -119,9 +122,9 @@ def beginnings(word: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Fitted:
-    """What learning leaves: words with counts for the character model, weights by feature, and the bias."""
+    """What learning leaves: trigrams with counts for the character model, weights by feature, and the bias."""
 
-    words: tuple[tuple[str, int], ...]
+    trigrams: tuple[tuple[str, int], ...]
     weights: tuple[tuple[str, float], ...]
     bias: float
     alone: tuple[tuple[str, float], ...] = ()  # the toxic share that one feature stands for by itself, by its lower bound
@@ -129,7 +132,7 @@ class Fitted:
 
 class Scorer:
     def __init__(self, fitted: Fitted, keep: int = 200_000):
-        self.characters, self.weights, self.bias, self.keep = Characters(dict(fitted.words)), dict(fitted.weights), fitted.bias, keep
+        self.characters, self.weights, self.bias, self.keep = Characters(trigrams=fitted.trigrams), dict(fitted.weights), fitted.bias, keep
         self.alone = dict(fitted.alone)
         self.restored: dict[str, tuple[str, ...]] = {}
         self.fragments: dict[str, bool] = {}
@@ -265,6 +268,59 @@ def _counts(rows: DataFrame, fitted: Fitted, only: frozenset[str] | None) -> Dat
     return map_rows(rows, "feature string, n bigint", count).groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+SLICE = 1 << 20  # characters counted at once
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters, as in ``WORDS``."""
+    out = np.zeros(0x110000, bool)
+    for word in WORDS.finditer("".join(map(chr, range(0x110000)))):
+        out[word.start():word.end()] = True
+    return out
+
+
+def count_trigrams(text: str) -> dict[str, int]:
+    """The trigrams of the words of a lower-case text, with two spaces before a word and one after it."""
+    signs = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    signs = np.concatenate([[32], np.where(_letters()[signs], signs, 32)])
+    seen = np.flatnonzero(np.bincount(signs))
+    place = np.zeros(seen[-1] + 1, np.int64)
+    place[seen] = np.arange(len(seen))
+    at, n = place[signs], len(seen)
+    blank = place[32]
+    a, b, c = at[:-2], at[1:-1], at[2:]
+    code = ((np.where(b == blank, blank, a) * n + b) * n + c)[(b != blank) | (c != blank)]
+    if n ** 3 <= 8 * SLICE:
+        counts = np.bincount(code)
+        codes = np.flatnonzero(counts)
+        counts = counts[codes]
+    else:
+        codes, counts = np.unique(code, return_counts=True)
+    sign = [chr(x) for x in seen]
+    return {sign[x // n // n] + sign[x // n % n] + sign[x % n]: k for x, k in zip(codes.tolist(), counts.tolist())}
+
+
+def trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """gram, n over the words of all texts. The table is bounded by the alphabets in use, not by the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            waiting, size = [], 0
+            for text in batch.column("text").to_pylist():
+                waiting.append(text.lower())
+                size += len(text)
+                if size >= SLICE:
+                    seen.update(count_trigrams("\n".join(waiting)))
+                    waiting, size = [], 0
+            seen.update(count_trigrams("\n".join(waiting)))
+        yield pa.RecordBatch.from_pydict({"gram": list(seen), "n": list(seen.values())}, schema=arrow_type("gram string, n bigint"))
+
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return texts.mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def _logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, m: int, ridge: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, float]:
     """Non-negative weights and a bias by full gradient steps with a step size per weight."""
     n, w = len(y), np.zeros(m)
@@ -283,22 +339,19 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, m: int, ridge:
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, language_rows: int = 1_500, least: int = 3, sure: float = 0.5, heavy: float = 0.5, surest: float = 0.97,
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, least: int = 3, sure: float = 0.5, heavy: float = 0.5, surest: float = 0.97,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Fitted:
     """Learn from at most about ``rows`` labelled documents (smallest hashes of the id), a documented bound of the fit.
 
     A feature counts if at least ``least`` toxic texts have it and the lower bound (Wilson, one side, 95 %) of its toxic share is at
-    least ``sure``; it counts alone if its weight is at least ``heavy`` and that bound at least ``surest``. The character model takes the words of about ``language_rows`` of the texts. Null labels teach nothing; a document with
+    least ``sure``; it counts alone if its weight is at least ``heavy`` and that bound at least ``surest``. The character model counts the words of all ``docs``. Null labels teach nothing; a document with
     several labels counts as toxic if any of them says so. Without labels every score is one half.
     """
     chosen = bounded_sample(labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
                             .filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", rows)
     # at most about ``rows`` pairs of numbers are broadcast
     sample = stored(documents(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id"), "labelled")
-    words: Counter[str] = Counter()
-    for row in bounded_sample(sample, "doc_id", language_rows).select("text").toLocalIterator():
-        words.update(WORDS.findall(row["text"].lower()))
-    start = Fitted(tuple(sorted((w, n) for w, n in words.items() if len(w) <= 40)), (), 0.0)
+    start = Fitted(tuple(sorted((r["gram"], r["n"]) for r in trigrams(docs, text_col).collect())), (), 0.0)
     toxic = {r["feature"]: r["n"] for r in _counts(sample.filter("toxic = 1"), start, None).filter(F.col("n") >= least).collect()}
     clean = {r["feature"]: r["n"] for r in _counts(sample.filter("toxic = 0"), start, frozenset(toxic)).collect()}
 
@@ -308,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, language_rows: i
 
     kept = sorted(f for f, k in toxic.items() if lower(k, k + clean.get(f, 0)) >= sure)
     place = {f: k for k, f in enumerate(kept)}
-    chosen_features = Fitted(start.words, tuple((f, 1.0) for f in kept), 0.0)
+    chosen_features = Fitted(start.trigrams, tuple((f, 1.0) for f in kept), 0.0)
 
     def found(batch: pa.RecordBatch) -> dict[str, list]:
         features = scorer(chosen_features).features
@@ -316,7 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, language_rows: i
 
     table = sorted((r["toxic"], r["found"]) for r in map_rows(sample, "toxic int, found array<int>", found).collect())
     if not table:
-        return Fitted(start.words, (), 0.0)
+        return Fitted(start.trigrams, (), 0.0)
     y = np.array([t for t, _ in table], float)
     doc = np.repeat(np.arange(len(table)), [len(f) for _, f in table])
     cols = np.array([c for _, f in table for c in f], int)
@@ -324,7 +377,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, language_rows: i
     # the words of one much copied text share its weight, so none of them stands for much alone
     shares = {f: lower(toxic[f], toxic[f] + clean.get(f, 0)) for f, k in place.items() if w[k] >= heavy}
     alone = tuple((f, share) for f, share in shares.items() if share >= surest)
-    return Fitted(start.words, tuple((f, float(w[k])) for f, k in place.items() if w[k] > 0), float(b), alone)
+    return Fitted(start.trigrams, tuple((f, float(w[k])) for f, k in place.items() if w[k] > 0), float(b), alone)
 
 
 def score(df: DataFrame, fitted: Fitted, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -400,7 +400,18 @@ HIDDEN = ["a$$", "a55", "idi07", "1d107", '"1diot"', '"$tupid"', "lo-ser", "lo.s
 
 def test_every_disguise_reaches_the_lattice():
     bad = "idiot loser moron stupid ass".split()
-    counted = {w: 20 for w in bad + "the and of clown this you are a thing with other people an id".split()}
+    counted = toxicity.count_trigrams(" ".join(bad * 20 + "the and of clown this you are a thing with other people an id".split() * 20))
     one = toxicity.Scorer(toxicity.Fitted(tuple(sorted(counted.items())), tuple(("=" + w, 1.0) for w in bad), 0.0))
     assert [t for t in HIDDEN if not one.features(t)] == []
     assert [t for t in ("a thing", "the an", "2.0 by-nc", "good", "people!!!") if one.features(t)] == []
+
+
+def test_character_model_counts_every_text(spark):
+    texts = ["Über alles", "x" * 50 + " a", None, "l0ser, été", ""] + [f"word{chr(97 + i % 26)}z" for i in range(3000)]
+    words = Counter(w for t in texts for w in toxicity.WORDS.findall((t or "").lower()))
+    want = Counter()
+    for word, n in words.items():
+        for k in range(2, len(word) + 3):
+            want[f"  {word} "[k - 2:k + 1]] += n
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["gram"]: r["n"] for r in toxicity.trigrams(df.repartition(3)).collect()} == want
