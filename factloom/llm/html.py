@@ -169,17 +169,20 @@ def extract(html: str) -> str:
             up.length += len(text)
             up.linked += linked
             up = up.parent
+    for owner, text, linked in found:
         points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
         if owner.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "th"):
             points *= 0.5
         holder = owner if owner.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "pre") else owner.parent
         level = 0
-        while holder is not None and level < 5:
+        while holder is not None:
             if holder.points is None:
                 holder.points = BASE.get(holder.tag, 0.0) + holder.weight
                 scored[id(holder)] = holder
             holder.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            holder, level = holder.parent, level + 1
+            # a wrapper that holds no more text than its child is no further from the block
+            level += holder.parent is not None and holder.parent.length > holder.length
+            holder = holder.parent
     if not scored:
         return ""
 

@@ -415,3 +415,10 @@ def test_character_model_counts_every_text(spark):
             want[f"  {word} "[k - 2:k + 1]] += n
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["gram"]: r["n"] for r in toxicity.trigrams(df.repartition(3)).collect()} == want
+
+
+def test_main_text_under_many_wrappers():
+    wrap = "<div class='section'><div class='row'><div class='column'><div class='box'><div class='inner'><div>"
+    parts = [f"Paragraph {i}, of one article, that runs on, with commas, for well over a hundred letters, so that it counts as text, number {i}." for i in range(4)]
+    page = "<body><div><nav><a href='/'>home</a></nav><div>" + "".join(f"{wrap}<p>{t}</p>{'</div>' * 6}" for t in parts) + "</div></div><footer>me</footer></body>"
+    assert html.extract(page) == " ".join(parts)
