@@ -1,9 +1,10 @@
 """Op 6. Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Documents of a source form blocks. Block j of a source of weight w may start at floor(j / w) and must have ended by ceil((j + 1) / w); taking,
-slot by slot, the released block of the earliest deadline keeps every source less than one block from its weight at every slot. Weights are
-rounded to whole blocks in a frame, so every frame is a schedule of its own that ends with all sources on target, and frames of the same kind are scheduled once. When a
-source runs out, the frames after that share its slots among the others, in proportion to their weights; no document is dropped or repeated.
+Documents of a source form blocks, and blocks fall into frames: of a source of weight w, frame k of F slots takes round((k + 1) w F) - round(k w F)
+blocks, so what rounding leaves over is carried and never adds up. At a frame's end a source is within (1 + w n) / 2 blocks of its weight, n being the
+number of sources, at any number of rows. In a frame, slot by slot, the released block of the earliest deadline is taken (Pfair), which keeps every
+source less than one block from its even share of the frame. When a source runs out, the frames after that are shorter and leave the
+others in proportion to their weights; no document is dropped or repeated.
 """
 
 from __future__ import annotations
@@ -50,12 +51,12 @@ def _frame(quota: Column) -> Column:
     return F.when(length > 0, F.aggregate(F.sequence(F.lit(0).cast("bigint"), length - 1), state, slot, lambda acc: acc["out"]))
 
 
-def schedule(df: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, frame: int = FRAME,
+def schedule(df: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, frame: int | None = None,
              id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """doc_id, source, block, slot, place: every document's block within its source, the block's slot, and the document's place in the mixed order.
 
-    ``weights``: target weight by source; sources not named get the mean weight. None: the square root of a source's documents. A weight is rounded to whole
-    blocks of a frame of about ``frame`` slots, one at least. A null source is a source of its own. Rows repeated under one id and source share one place. An empty table
+    ``weights``: target weight by source; sources not named get the mean weight. None: the square root of a source's documents. Weights are
+    kept as they are; only where ``frame`` is given are they rounded to whole blocks of a frame of about so many slots, one at least. A null source is a source of its own. Rows repeated under one id and source share one place. An empty table
     gives no row. The driver gets no row; tables with a row for each source, or each slot of each kind of frame, are broadcast only if small.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("given"))
@@ -68,35 +69,35 @@ def schedule(df: DataFrame, weights: dict[str, float] | None = None, block_docs:
         sources = sources.withColumn("weight", F.coalesce(F.try_element_at(named, F.col("source")), F.lit(mean)))
     else:
         sources = sources.withColumn("weight", F.sqrt("docs"))
-    # one row that holds a small struct for each source
-    plan = sources.agg(F.array_sort(F.collect_list(F.struct("source", "blocks", "weight"))).alias("s"))
-    total = F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x["weight"])
-    plan = plan.withColumn("s", F.transform("s", lambda x: F.struct(
-        x["source"].alias("source"), x["blocks"].alias("blocks"), F.greatest(F.lit(1), F.round(x["weight"] / total * frame)).cast("bigint").alias("quota"))))
-    # the kind of frame changes where a source has its last, partial frame, and after that
-    ends = F.flatten(F.transform("s", lambda x: F.array(F.floor(x["blocks"] / x["quota"]), F.floor(x["blocks"] / x["quota"]) + 1)))
-    plan = stored(plan.withColumn("breaks", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), ends)))), "plan")
-    kinds = plan.select("s", F.explode("breaks").alias("k"))
-    quota = F.transform("s", lambda x: F.greatest(F.lit(0).cast("bigint"), F.least(x["quota"], x["blocks"] - F.col("k") * x["quota"])))
-    kinds = kinds.withColumn("quota", quota).withColumn("start", F.aggregate(F.transform("s", lambda x: F.least(x["blocks"], F.col("k") * x["quota"])),
-                                                        F.lit(0).cast("bigint"), lambda acc, x: acc + x))
-    kinds = kinds.withColumn("length", F.aggregate("quota", F.lit(0).cast("bigint"), lambda acc, x: acc + x)).filter("length > 0")
-    slots = kinds.repartition("k").withColumn("order", _frame(F.col("quota"))).select(
-        "k", "start", "length", F.posexplode(F.transform("order", lambda i: F.element_at("s", i + 1)["source"])).alias("offset", "source"))
+    total = sources.agg(F.sum("weight").alias("total"))
+    each = sources.crossJoin(F.broadcast(total)).withColumn("pace", F.col("weight") / F.col("total") * (frame or FRAME))  # blocks in a frame
+    if frame:
+        each = each.withColumn("pace", F.greatest(F.lit(1.0), F.round("pace")))
+    each = stored(each.select("source", "blocks", "pace"), "sources")
+
+    def before(k: Column) -> Column:
+        """Blocks of a source in the frames before frame k: what is left over in one frame is carried to the next."""
+        return F.least(F.col("blocks"), F.floor(F.col("pace") * k + 0.5))
+
+    k = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("block") + 0.5) / F.col("pace")) - 1)
+    dealt = numbered.join(_bounded(each), "source").withColumn("block", F.floor(F.col("n") / block_docs)).withColumn("k", k)
+    # where rounding of the quotient and of the product differ
+    dealt = dealt.withColumn("k", F.when(F.col("block") < before(F.col("k")), F.col("k") - 1).when(F.col("block") >= before(F.col("k") + 1), F.col("k") + 1).otherwise(F.col("k")))
+    dealt = dealt.withColumn("j", F.col("block") - before(F.col("k"))).select("doc_id", "source", "n", "block", "k", "j")
+    quotas = dealt.groupBy("k", "source").agg((F.max("j") + 1).alias("q"))  # at most a row for each block
+    frames = stored(quotas.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("source", "q"))).alias("s"))
+                    .withColumn("quota", F.transform("s", lambda x: x["q"])), "frames")
+    starts = frames.select("k").crossJoin(F.broadcast(each)).groupBy("k").agg(F.sum(before(F.col("k"))).cast("bigint").alias("start"))
+    slots = frames.repartition("k").withColumn("order", _frame(F.col("quota"))).select(
+        "k", F.posexplode(F.transform("order", lambda i: F.element_at("s", i + 1)["source"])).alias("offset", "source"))
     within = W.partitionBy("k", "source").orderBy("offset")  # at most a frame
-    slots = stored(slots.withColumn("j", F.row_number().over(within) - 1), "slots")
-    each = plan.select(F.explode("s").alias("x"), "breaks").select("x.source", "x.quota", "breaks")
-    placed = (numbered.join(_bounded(stored(each, "sources")), "source")
-              .withColumn("block", F.floor(F.col("n") / block_docs))
-              .withColumn("round", F.floor(F.col("block") / F.col("quota"))).withColumn("j", F.col("block") % F.col("quota"))
-              .withColumn("k", F.array_max(F.filter("breaks", lambda b: b <= F.col("round")))).drop("breaks")
-              .join(_bounded(slots), ["k", "source", "j"])
-              .withColumn("slot", F.col("start") + (F.col("round") - F.col("k")) * F.col("length") + F.col("offset")))
+    slots = slots.withColumn("j", F.row_number().over(within).cast("bigint") - 1).join(starts, "k").select("k", "source", "j", (F.col("start") + F.col("offset")).alias("slot"))
+    placed = dealt.join(_bounded(stored(slots, "slots")), ["k", "source", "j"])
     name = F.when(F.col("source") != "null", F.substring("source", 2, 2 ** 31 - 1))
     return placed.select("doc_id", name.alias("source"), "block", "slot", (F.col("slot") * block_docs + F.col("n") % block_docs).alias("place"))
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, frame: int = FRAME,
+def mix(df: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, frame: int | None = None,
         id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` in mixed order: ranges of places, each sorted, so files written from it read in that order. All columns and rows stay."""
     placed = schedule(df, weights, block_docs, frame, id_col, source_col).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("place").alias("_place"))

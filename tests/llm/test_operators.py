@@ -422,3 +422,15 @@ def test_main_text_under_many_wrappers():
     parts = [f"Paragraph {i}, of one article, that runs on, with commas, for well over a hundred letters, so that it counts as text, number {i}." for i in range(4)]
     page = "<body><div><nav><a href='/'>home</a></nav><div>" + "".join(f"{wrap}<p>{t}</p>{'</div>' * 6}" for t in parts) + "</div></div><footer>me</footer></body>"
     assert html.extract(page) == " ".join(parts)
+
+
+def test_mixing_keeps_true_weights_over_many_frames(spark):
+    weights = {"a": 0.6037, "b": 0.3953, "c": 0.001}
+    rows = [(i, "a") for i in range(12000)] + [(i, "b") for i in range(12000, 20000)] + [(i, "c") for i in range(20000, 20100)]
+    slots = {r["slot"]: r["source"] for r in mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=1).collect()}
+    assert sorted(slots) == list(range(20100))
+    done, worst = Counter(), 0.0
+    for t in range(19000):  # all sources last so long
+        done[slots[t]] += 1
+        worst = max([worst, *(abs(done[s] - w * (t + 1)) for s, w in weights.items())])
+    assert worst < 2.5
