@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, dac, html, langid, mixing, neardup, packing, pii, topk, toxicity
+from factloom.llm import ann, dac, divergence, html, langid, mixing, neardup, packing, pii, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of equal texts and group of near duplicates."""
     return neardup.classes(spark.read.parquet(TABLE.format(sf_dir, "documents")))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and the terms that each overuses."""
+    return divergence.audit(spark.read.parquet(TABLE.format(sf_dir, "documents")))
+
+
+ORACLES["op12_source_divergence"] = divergence.oracle()
