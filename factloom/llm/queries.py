@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, dac, divergence, html, langid, mixing, neardup, packing, pii, topk, toxicity
+from factloom.llm import ann, dac, divergence, html, langid, mixing, neardup, packing, phrases, pii, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_source_divergence"] = divergence.oracle()
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases of 2 to 5 words that stick together most."""
+    return phrases.collocations(spark.read.parquet(TABLE.format(sf_dir, "documents")))
+
+
+ORACLES["op13_phrase_collocations"] = phrases.oracle()
