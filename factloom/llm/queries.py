@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, dac, divergence, html, langid, mixing, neardup, packing, phrases, pii, topk, toxicity
+from factloom.llm import ann, dac, divergence, html, langid, mixing, neardup, packing, phrases, pii, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,14 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_phrase_collocations"] = phrases.oracle()
+
+
+#: The filter's rules: the longest that fits a url decides.
+URL_RULES = (urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"),
+             urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/"))
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rules, else by the regression."""
+    return urls.judge(spark.read.parquet(TABLE.format(sf_dir, "pages")), urls.fit(urls.labelled_urls(spark)), URL_RULES)
