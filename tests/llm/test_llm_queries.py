@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables
 def test_registered():
     names = set(entry_module.queries())
     assert set(QUERIES) <= names and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_exact_products_equal_sql(spark):
