@@ -574,3 +574,26 @@ def t1(t):
     rows.filter("relation_type = 'COUNTRY'").withColumn("confidence", F.lit(0.75)).write.mode("append").parquet(f"{root}/in")
     run()
     return read_upserted(t.spark, f"{root}/out").select(*g.EDGE_KEY, "confidence")
+
+
+# sightings of entities arrive in two files, later documents first; an entity is a name here, and its type that of its last document
+@query("t1_stream_entities", """
+WITH s AS (SELECT c.name, c.type, m.name AS alias, c.doc * 1000 + c.entity AS seq FROM canon c JOIN oc_mentions m ON m.doc = c.doc AND m.entity = c.entity)
+SELECT name AS id, arg_max(type, seq) AS type, arg_min(type, seq) AS first_type, string_agg(DISTINCT alias, ' | ' ORDER BY alias) AS aliases,
+  min(seq)::BIGINT AS first_seq, max(seq)::BIGINT AS last_seq FROM s GROUP BY name""")
+def t1_entities(t):
+    from pyspark.sql.types import _parse_datatype_string
+
+    from factloom.session import shared_folder
+    from factloom.streaming import entities as en
+    from factloom.streaming.upsert import read_stream
+    root = shared_folder(t.spark, "entity-stream")
+    names = dm.canonical(t.oc_mentions)
+    rows = t.oc_mentions.select("doc", "entity", F.col("name").alias("alias")).join(names, ["doc", "entity"]).select(
+        F.col("name").alias("id"), "name", "type", "alias", (F.col("doc") * 1000 + F.col("entity")).cast("bigint").alias("seq"))
+    late = F.pmod(F.floor(F.col("seq") / 1000), F.lit(2)) == 1
+    schema = _parse_datatype_string(en.SIGHTING)
+    for part in (rows.filter(late), rows.filter(~late)):
+        part.write.mode("append").parquet(f"{root}/in")
+        en.stream_entities(read_stream(t.spark, f"{root}/in", schema), f"{root}/out", f"{root}/state").awaitTermination()
+    return en.read_entities(t.spark, f"{root}/out").select("id", "type", "first_type", F.array_join("aliases", " | ").alias("aliases"), "first_seq", "last_seq")

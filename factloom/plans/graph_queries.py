@@ -31,14 +31,6 @@ def corpus_edges(t):
     return g.build_edges(labs, t.rel_info, t.oc_splits, t.oc_sentence_rows())
 
 
-@query("s2_load_splits", """
-SELECT doc, split FROM (SELECT doc, split FROM oc_splits WHERE split IN ('train_annotated', 'dev_revised')) ORDER BY doc LIMIT 500""")
-def s2(t):
-    # the reader's union of named splits, then its first-n cap
-    parts = [t.oc_splits.filter(F.col("split") == s).select("doc", F.lit(s).alias("split")) for s in ("train_annotated", "dev_revised")]
-    return readers.first_docs(parts[0].unionByName(parts[1]), 500)
-
-
 @query("s3_relation_names", """
 SELECT doc, label_no, code, coalesce(name, code) AS relation_name
 FROM (SELECT doc, label_no, CASE WHEN h % 2 = 0 THEN r ELSE r || 'x' END AS code FROM oc_labels) l LEFT JOIN rel_info i USING (code)""")
@@ -80,10 +72,13 @@ def s9(t):
 
 @query("s10_flat_triples", f"""
 SELECT head_id, head_name, head_type, relation_id, relation_name, {SLUG.format(c='relation_name')} AS relation_type, tail_id, tail_name, tail_type,
-  confidence, split, document, array_to_string(sentence_id, '; ') AS sentence_id, coalesce(array_to_string(texts, ' | '), '') AS evidence,
+  confidence, split, cast(document AS varchar) AS document, array_to_string(sentence_id, '; ') AS sentence_id, coalesce(array_to_string(texts, ' | '), '') AS evidence,
   evidence_source, is_revised FROM ({EDGES_NAMED})""")
 def s10(t):
-    return writers.to_flat_triples(corpus_edges(t), corpus_entities(t))
+    from factloom.session import shared_folder
+    path = shared_folder(t.spark, "flat")
+    writers.write_csv(writers.to_flat_triples(corpus_edges(t), corpus_entities(t)), path)
+    return readers.read_flat_triples(t.spark, path)
 
 
 @query("s11_relational_entities", """
