@@ -131,8 +131,9 @@ def phrases_by_hand(rows, least, longest, top, covered):
     return sorted(out)
 
 
-@pytest.mark.parametrize("least,longest,top,covered,shard", [(4, 5, 2000, 100, 3000), (30, 3, 20, 80, 1 << 23), (1, 2, 10 ** 6, 100, 500)])
-def test_collocations(docs, rows, least, longest, top, covered, shard):
+@pytest.mark.parametrize("least,longest,top,covered,shard,spread", [(4, 5, 2000, 100, 3000, 1), (4, 5, 50, 100, 3000, 8), (30, 3, 20, 80, 1 << 23, 8), (1, 2, 10 ** 6, 100, 500, 2)])
+def test_collocations(docs, rows, monkeypatch, least, longest, top, covered, shard, spread):
+    monkeypatch.setattr(phrases, "SPREAD", spread)
     got = phrases.collocations(docs, least, longest, top, covered, shard_bytes=shard)
     assert sorted(map(tuple, got.collect())) == phrases_by_hand(rows, least, longest, top, covered)
 
