@@ -130,6 +130,11 @@ class Fitted:
     alone: tuple[tuple[str, float], ...] = ()  # the toxic share that one feature stands for by itself, by its lower bound
 
 
+def _squeeze(word: str) -> str:
+    """A word with each run of a letter cut to one."""
+    return word[:1] + "".join(b for a, b in zip(word, word[1:]) if a != b)
+
+
 class Scorer:
     def __init__(self, fitted: Fitted, keep: int = 200_000):
         self.characters, self.weights, self.bias, self.keep = Characters(trigrams=fitted.trigrams), dict(fitted.weights), fitted.bias, keep
@@ -138,14 +143,25 @@ class Scorer:
         self.fragments: dict[str, bool] = {}
         self.chunks: dict[str, tuple[str, ...]] = {}
         self.known: dict[str, tuple[str, ...]] = {}
+        self.pieces: dict[str, tuple[str, ...]] = {}
+        self.idle: set[str] = set()  # pieces without a feature that has a weight
+        self.fours = frozenset(f[1:5] for f in self.weights)
+        self.squeezed = frozenset(_squeeze(f[1:]) for f in self.weights)
         # what fragments that white space sets apart may add up to
         self.ends = frozenset(self.weights)
         self.heads = frozenset(f[1:k] for f in self.weights for k in range(2, len(f)))
         self.stems = frozenset(f[1:k] for f in self.weights for k in range(2, min(7, len(f) + 1)))
 
+    def _vain(self, word: str) -> bool:
+        """Whether no reading of a word of letters can have a weight: a reading drops repeated letters only, so it is squeezed to the same letters."""
+        squeezed = _squeeze(word[:2 * LONGEST_KEPT])
+        return bool(self.weights) and word.isalpha() and len(word) <= LONGEST_KEPT and not any(squeezed[:k] in self.squeezed for k in range(1, len(squeezed) + 1))
+
     def restore(self, span: str) -> tuple[str, ...]:
-        """The words behind ``span``."""
+        """The words behind ``span``; none where a model with weights could not weigh any of them."""
         found = self.restored.get(span)
+        if found is None and self._vain(span):
+            return ()
         if found is None:
             found = tuple(WORDS.findall(restore(span, self.characters)))
             if len(span) <= LONGEST_KEPT:
@@ -201,8 +217,9 @@ class Scorer:
         found: set[str] = set()
         heads, odd = self.heads, {t for t in set(tokens) - plain if self._fragment(t)}
         starts = (heads & plain) | odd
-        for i, token in enumerate(tokens[:-1]) if starts else ():
-            if token in starts and (token in odd or not tokens[i + 1].isalpha() or (token + tokens[i + 1])[:5] in self.stems):
+        for i in [i for i, t in enumerate(tokens[:-1]) if t in starts] if starts else ():
+            token = tokens[i]
+            if token in odd or not tokens[i + 1].isalpha() or (token + tokens[i + 1])[:5] in self.stems:
                 reached, k = self._reach("", token), i + 1
                 while k < len(tokens) and (reached := {r for h in reached if h in heads for r in self._reach(h, tokens[k])}):
                     if any(map(self._made, reached)):
@@ -210,21 +227,25 @@ class Scorer:
                     k += 1
         return found
 
+    def _said(self, chunk: str) -> set[str]:
+        """The words of a text without white space, as they stand and restored."""
+        out = {w for token in TOKEN.findall(chunk) for w in ((token,) if token.isalpha() else WORDS.findall(token))}
+        if not chunk.isalpha():
+            out.update(self.chunk(chunk))
+        return out
+
     def words(self, text: str) -> set[str]:
+        """The words of a text, as they stand and restored, and what those with a repeated letter are without it; fragments apart are left out."""
         text = text.lower()
-        listed = TOKEN.findall(text)
-        plain = set(filter(str.isalpha, listed))
-        out = set(plain)
-        for token in set(listed) - plain:
-            out.update(WORDS.findall(token))
-        for chunk in set(text.split()) - plain:
-            out.update(self.chunk(chunk))
+        out = {w for chunk in set(text.split()) for w in self._said(chunk)}
         for match in SPELT.finditer(text):
             out.update(self.restore(match[0]))
-        if self.heads:
-            for span in self.apart(listed, plain):
-                out.update(self.restore(span))
-        return out
+        return out.union(*(self.restore(w) for w in out if REPEATED.search(w)))
+
+    def joined(self, text: str) -> set[str]:
+        """The words that fragments apart in a lower-case text add up to."""
+        listed = TOKEN.findall(text)
+        return {w for span in self.apart(listed, set(filter(str.isalpha, listed))) for w in self.restore(span)} if self.heads else set()
 
     def all_features(self, word: str) -> list[str]:
         """The features of a word and, where a letter is repeated, of what it is without the repeat."""
@@ -233,15 +254,37 @@ class Scorer:
             out += beginnings(one)
         return out
 
+    def weighted(self, word: str) -> tuple[str, ...]:
+        """Of the features of a word those that have a weight."""
+        if word[:4] not in self.fours and not REPEATED.search(word):
+            return ()
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > self.keep:
+                self.known.clear()
+            found = self.known[word] = tuple(f for f in self.all_features(word) if f in self.weights)
+        return found
+
     def features(self, text: str) -> set[str]:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known, weights, out = self.known, self.weights, set()
-        words = self.words(text)
-        for word in [w for w in words if w not in known]:
-            known[word] = tuple(f for f in self.all_features(word) if f in weights)
-        for found in set(map(known.__getitem__, words)):
+        """The features with a weight in a text: one look for each different piece between white space, and the spans that reach over it."""
+        text, pieces, idle, out = text.lower(), self.pieces, self.idle, set()
+        for chunk in set(text.split()).difference(idle):
+            found = pieces.get(chunk)
+            if found is None:
+                found = tuple({f for word in self._said(chunk) for f in self.weighted(word)})
+                if len(chunk) <= LONGEST_KEPT:
+                    if len(pieces) + len(idle) > 2 * self.keep:
+                        pieces.clear(), idle.clear()
+                    if found:
+                        pieces[chunk] = found
+                    else:
+                        idle.add(chunk)
             out.update(found)
+        for match in SPELT.finditer(text):
+            for word in self.restore(match[0]):
+                out.update(self.weighted(word))
+        for word in self.joined(text):
+            out.update(self.weighted(word))
         return out
 
     def score(self, text: str) -> float:
@@ -255,17 +298,33 @@ def scorer(fitted: Fitted) -> Scorer:
     return held(("toxicity", fitted), lambda: Scorer(fitted))
 
 
-def _counts(rows: DataFrame, fitted: Fitted, only: frozenset[str] | None) -> DataFrame:
-    """How many of ``rows`` have each feature; with ``only``, of these features."""
+def _decoded(sample: DataFrame, fitted: Fitted) -> DataFrame:
+    """toxic, text (lower case) and words of the labelled texts, which are decoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = scorer(fitted)
+        for batch in batches:
+            texts = [t.lower() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(texts, pa.string()), pa.array([sorted(one.words(t)) for t in texts], pa.list_(pa.string()))],
+                                             ["toxic", "text", "words"])
+
+    return sample.select("toxic", "text").mapInArrow(run, "toxic int, text string, words array<string>")
+
+
+def _counts(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
+    """How many of the decoded ``rows`` have each feature; with ``only``, of these features."""
 
     def count(batch: pa.RecordBatch) -> dict[str, list]:
-        one, seen = scorer(fitted), Counter()
-        for text in batch.column("text").to_pylist():
-            features = {f for w in one.words(text) for f in one.all_features(w)}
-            seen.update(features if only is None else features & only)
+        known: dict[str, list[str]] = {}
+        seen: Counter[str] = Counter()
+        for words in batch.column("words").to_pylist():
+            for word in words:
+                if word not in known:
+                    known[word] = [f for f in beginnings(word) if only is None or f in only]
+            seen.update({f for word in words for f in known[word]})
         return {"feature": list(seen), "n": list(seen.values())}
 
-    return map_rows(rows, "feature string, n bigint", count).groupBy("feature").agg(F.sum("n").alias("n"))
+    return map_rows(rows.select("words"), "feature string, n bigint", count).groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 SLICE = 1 << 20  # characters counted at once
@@ -350,10 +409,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, least: int = 3,
     chosen = bounded_sample(labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
                             .filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", rows)
     # at most about ``rows`` pairs of numbers are broadcast
-    sample = stored(documents(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id"), "labelled")
+    sample = documents(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
     start = Fitted(tuple(sorted((r["gram"], r["n"]) for r in trigrams(docs, text_col).collect())), (), 0.0)
-    toxic = {r["feature"]: r["n"] for r in _counts(sample.filter("toxic = 1"), start, None).filter(F.col("n") >= least).collect()}
-    clean = {r["feature"]: r["n"] for r in _counts(sample.filter("toxic = 0"), start, frozenset(toxic)).collect()}
+    decoded = stored(_decoded(sample, start), "decoded")
+    toxic = {r["feature"]: r["n"] for r in _counts(decoded.filter("toxic = 1"), None).filter(F.col("n") >= least).collect()}
+    clean = {r["feature"]: r["n"] for r in _counts(decoded.filter("toxic = 0"), frozenset(toxic)).collect()}
 
     def lower(k: int, n: int, z: float = 1.645) -> float:
         p = k / n
@@ -364,10 +424,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, least: int = 3,
     chosen_features = Fitted(start.trigrams, tuple((f, 1.0) for f in kept), 0.0)
 
     def found(batch: pa.RecordBatch) -> dict[str, list]:
-        features = scorer(chosen_features).features
-        return {"toxic": batch.column("toxic").to_pylist(), "found": [sorted(place[f] for f in features(t)) for t in batch.column("text").to_pylist()]}
+        one = scorer(chosen_features)
+        rows_ = zip(batch.column("text").to_pylist(), batch.column("words").to_pylist())
+        found = [{place[f] for w in words for f in beginnings(w) if f in place}.union(place[f] for w in one.joined(text) for f in one.weighted(w)) for text, words in rows_]
+        return {"toxic": batch.column("toxic").to_pylist(), "found": list(map(sorted, found))}
 
-    table = sorted((r["toxic"], r["found"]) for r in map_rows(sample, "toxic int, found array<int>", found).collect())
+    table = sorted((r["toxic"], r["found"]) for r in map_rows(decoded, "toxic int, found array<int>", found).collect())
     if not table:
         return Fitted(start.trigrams, (), 0.0)
     y = np.array([t for t, _ in table], float)
