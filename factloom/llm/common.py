@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,10 +14,21 @@ from pyspark.sql import functions as F
 _HELD: dict = {}
 
 
+def _give_back() -> None:
+    """Free what a dropped model held, cycles too, and return it to the system, as an idle worker stays beside the executor's heap."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: its own allocator decides
+        pass
+
+
 def held(key, make: Callable[[], object]):
     """One model for each worker process: it stays until another is asked for, so the models of a job's stages do not add up in a reused worker."""
     if _HELD.get("key") != key:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            _give_back()
         _HELD.update(key=key, model=make())
     return _HELD["model"]
 
