@@ -127,17 +127,11 @@ def _numbered_grams(text: Column) -> Column:
         g, F.size(F.filter(F.slice(grams, 1, i + 1), lambda x: x == g)).cast("string")))
 
 
-def fuzzy_pairs(mentions: DataFrame, names: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
-    """All (mention, name, ratio) with an Indel ratio of at least ``cutoff`` (in percent), without comparing all pairs.
-
-    With s = cutoff/200, a match has LCS >= s(la+lb) =: L, so 3L - la - lb + 1 of the padded, numbered bigrams are
-    common: a deletion breaks at most two of the mention's bigrams, an insertion one. Leaving out a mention's
-    commonest bigrams, as many as that bound spares at every admissible length, still leaves a shared one, so the join
-    never touches them; the count of shared bigrams then drops most of the rest before the exact ratio. Below a cutoff
-    of 200/3 the bound spares none and the padding no longer guarantees a shared bigram, so it is not accepted.
-    """
-    if cutoff < 200 / 3:
-        raise ValueError("the bigram bound needs a cutoff of at least 66.7")
+def _prefix_pairs(mentions: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
+    """(mention, name) that may reach ``cutoff``: with s = cutoff/200, a match has LCS >= s(la+lb) =: L, so 3L - la - lb + 1 of the padded, numbered
+    bigrams are common: a deletion breaks at most two of the mention's bigrams, an insertion one. Leaving out a mention's commonest bigrams, as many
+    as that bound spares at every admissible length, still leaves a shared one, so the join never touches them; the count of shared bigrams then drops
+    most of the rest. Below a cutoff of 200/3 the bound spares none."""
     share = cutoff / 200.0
     floor_len = share / (1 - share)  # shortest admissible lb / la
     asked = mentions.select("mention", F.char_length("mention").alias("la")).distinct()
@@ -155,31 +149,95 @@ def fuzzy_pairs(mentions: DataFrame, names: DataFrame, cutoff: float = FUZZY_CUT
     fits = (lcs <= F.col("la")) & (lcs <= F.col("lb"))
     shared = (prefix.join(index, "key").filter(fits).groupBy("mention", "name", "la", "lb", "spare")
               .agg(F.count("*").alias("shared")).filter(F.col("shared") >= need))
-    return (shared.select("mention", "name", indel_ratio(F.col("mention"), F.col("name")).alias("ratio"))
-            .filter(F.col("ratio") >= cutoff))
+    return shared.select("mention", "name")
+
+
+def _lengths(names: DataFrame) -> Column:
+    """The different lengths of the names, a few hundred numbers at most, as a constant array."""
+    found = sorted(r[0] for r in names.select(F.char_length("name")).distinct().dropna().collect())
+    return F.array(*map(F.lit, found)) if found else F.array().cast("array<int>")
+
+
+def _length_pairs(mentions: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
+    """(mention, name) whose lengths admit ``cutoff``: 2 min(la, lb) >= cutoff/100 (la + lb). An equi-join on the length, for cutoffs that no index serves."""
+    share = cutoff / 200.0
+    pool = names.select("name").distinct().withColumn("lb", F.char_length("name"))
+    asked = mentions.select("mention", F.char_length("mention").alias("la")).distinct()
+    fits = F.filter(_lengths(names), lambda lb: F.least(F.col("la"), lb) >= share * (F.col("la") + lb) - 1e-9)
+    return asked.select("mention", F.explode(fits).alias("lb")).join(pool, "lb").select("mention", "name")
+
+
+def fuzzy_pairs(mentions: DataFrame, names: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
+    """All (mention, name, ratio) with an Indel ratio of at least ``cutoff`` (in percent): a bigram index down to 200/3, pairs of fitting lengths below."""
+    pairs = _prefix_pairs(mentions, names, cutoff) if cutoff >= 200 / 3 else _length_pairs(mentions, names, cutoff)
+    return pairs.select("mention", "name", indel_ratio(F.col("mention"), F.col("name")).alias("ratio")).filter(F.col("ratio") >= cutoff)
 
 
-# tighter cutoffs tried first: each needs fewer, rarer bigrams than the next
-FUZZY_LEVELS = (92.0, 86.0)
+# texts of at most so many letters are also found by what is left of them when letters are struck out
+STRUCK_LENGTH, STRUCK_LETTERS = 40, 2
+
+
+def _struck(text: Column, letters: int) -> Column:
+    """Hashes of all that is left of a text when 0 to ``letters`` letters are struck out."""
+    def less(one: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.char_length(one)), lambda i: F.concat(F.substring(one, F.lit(1), i - 1), F.substring(one, i + 1, F.char_length(one))))
+
+    layers = [F.array(text)]
+    for _ in range(letters):
+        longer = F.filter(layers[-1], lambda one: one != "")
+        layers.append(F.array_distinct(F.flatten(F.transform(longer, less))))
+    return F.array_distinct(F.transform(F.concat(*layers), lambda one: F.xxhash64(one)))
+
+
+def struck_pairs(mentions: DataFrame, names: DataFrame, letters: int) -> DataFrame:
+    """(mention, name, ratio) of all pairs that are equal when at most ``letters`` letters are struck out of each, both of at most ``STRUCK_LENGTH`` (names: and ``letters`` more).
+
+    The join meets on what is left, so pairs that share most of their text without being close never meet; a pair meets once for each way to strike.
+    """
+    asked = mentions.select("mention").distinct().filter(F.char_length("mention") <= STRUCK_LENGTH)
+    pool = names.select("name").distinct().filter(F.char_length("name") <= STRUCK_LENGTH + letters)
+    keys = asked.select("mention", F.explode(_struck(F.col("mention"), letters)).alias("key"))
+    index = pool.select("name", F.explode(_struck(F.col("name"), letters)).alias("key"))
+    pairs = keys.join(index, "key").select("mention", "name").distinct()
+    return pairs.select("mention", "name", indel_ratio(F.col("mention"), F.col("name")).alias("ratio"))
+
+
+def _unseen(names: DataFrame, mentions: DataFrame, letters: int) -> DataFrame:
+    """(mention, bound): the highest ratio of a name that ``struck_pairs`` may have missed, from the lengths that names have."""
+    la = F.col("la")
+
+    def highest(lb: Column) -> Column:
+        # a missed name needs more letters struck on one side at least
+        common = F.greatest(F.least(lb, la - letters - 1), F.least(la, lb - letters - 1), F.lit(0))
+        common = F.when(la > STRUCK_LENGTH, F.least(la, lb)).otherwise(common)
+        return F.when(la + lb > 0, 200.0 * common / (la + lb)).otherwise(0.0)
+
+    bound = F.coalesce(F.array_max(F.transform(_lengths(names), highest)), F.lit(0.0))
+    return mentions.select("mention", F.char_length("mention").alias("la")).distinct().select("mention", bound.alias("bound"))
 
 
 def link_fuzzy(mentions: DataFrame, entities: DataFrame, cutoff: float = FUZZY_CUTOFF,
                k: int = SEEDS_PER_MENTION) -> DataFrame:
     """Best k entity names by Indel ratio (case-sensitive), ties by id. Adds ``ratio``.
 
-    A mention with k matches at a tighter cutoff is done, since everything below that cutoff ranks behind them; only the
-    others go on to the looser, costlier ones. The result is the top k of the full comparison.
+    Close names are found by striking out 0, 1, then 2 letters. A mention is done when its k-th match beats the highest ratio of any name that may have
+    been missed, which the lengths of the names bound; only the others go on, in the end to all pairs that may reach ``cutoff``. The result is the top k of
+    the full comparison.
     """
     rest, out = _asked(mentions), None
     ids = entities.select("id", "name", "type")
-    levels = [level for level in FUZZY_LEVELS if level > cutoff] + [cutoff]
-    for level in levels:
-        close = fuzzy_pairs(rest, ids.select("name"), level).join(ids, "name")
-        best = checkpointed(top_per_group(close, ["mention"], [F.desc("ratio"), F.asc("id")], k).drop("rank"))
-        if level != cutoff:
-            full = best.groupBy("mention").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("mention")
-            best, rest = best.join(full, "mention", "left_semi"), rest.join(full, "mention", "left_anti")
+
+    def best_of(pairs: DataFrame) -> DataFrame:
+        return checkpointed(top_per_group(pairs.filter(F.col("ratio") >= cutoff).join(ids, "name"), ["mention"], [F.desc("ratio"), F.asc("id")], k).drop("rank"))
+
+    for letters in range(STRUCK_LETTERS + 1):
+        best = best_of(struck_pairs(rest, ids, letters))
+        full = (best.groupBy("mention").agg(F.count("*").alias("n"), F.min("ratio").alias("last")).filter(F.col("n") >= k)
+                .join(_unseen(ids, rest, letters), "mention").filter(F.col("last") > F.col("bound") + 1e-9).select("mention"))
+        full = checkpointed(full)
+        best, rest = best.join(full, "mention", "left_semi"), checkpointed(rest.join(full, "mention", "left_anti"))
         out = best if out is None else out.unionByName(best)
+    out = out.unionByName(best_of(fuzzy_pairs(rest, ids.select("name"), cutoff)))
     return mentions.select(*MENTION).join(out, "mention").select(*HIT, "ratio")
 
 

@@ -44,17 +44,36 @@ def q2(t):
 
 
 # the substring test is implied by the pattern and spares most of its evaluations
-@query("q3_link_word_boundary", top3("CASE WHEN contains(lower(e.name), lower(q.mention)) THEN regexp_matches(e.name, '(?i)\\b' || regexp_replace(q.mention, '([#.])', '\\\\\\1', 'g') || '\\b') END"))
+WORD = top3("CASE WHEN contains(lower(e.name), lower(q.mention)) THEN regexp_matches(e.name, '(?i)\\b' || regexp_replace(q.mention, '([#.])', '\\\\\\1', 'g') || '\\b') END")
+
+
+@query("q3_link_word_boundary", WORD)
 def q3(t):
     return lk.link_word_boundary(mentions(t), t.tg_entities)
 
 
-@query("q4_link_fuzzy")
+# the longest common subsequence of two names by bits: a set bit of the state is a letter of the name that is not in it yet
+FUZZY = """
+a AS (SELECT DISTINCT mention, string_split(mention, '') AS letters, length(mention) AS la FROM tg_questions),
+b AS (SELECT name, length(name) AS lb, (1::HUGEINT << length(name)) - 1 AS every, map_from_entries(list_transform(list_distinct(string_split(name, '')),
+    lambda c: {'k': c, 'v': list_sum(list_transform(range(1, length(name) + 1), lambda j: CASE WHEN name[j] = c THEN 1::HUGEINT << (j - 1) ELSE 0 END))::HUGEINT})) AS places
+  FROM (SELECT DISTINCT name FROM tg_entities)),
+rated AS (SELECT mention, name, 200.0 * (lb - bit_count(list_reduce(list_prepend(every, list_transform(letters, lambda c: coalesce(places[c], 0::HUGEINT))),
+    lambda v, m: ((v + (v & m)) | (v - (v & m))) & every))) / (la + lb) AS ratio FROM a, b WHERE least(la, lb) * 200 >= 80 * (la + lb)),
+fuzzy AS (SELECT r.mention, e.id, e.name, e.type, r.ratio FROM rated r JOIN tg_entities e USING (name) WHERE ratio >= 80
+  QUALIFY row_number() OVER (PARTITION BY r.mention ORDER BY ratio DESC, e.id) <= 3)"""
+
+
+@query("q4_link_fuzzy", f"WITH {FUZZY} SELECT question_id, mention, id, name, type, round(ratio::DOUBLE, 6) AS ratio FROM tg_questions JOIN fuzzy USING (mention)")
 def q4(t):
     return lk.link_fuzzy(mentions(t), t.tg_entities).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("q5_link_cascade")
+@query("q5_link_cascade", f"""
+WITH {FUZZY}, exact AS ({EXACT}), word AS ({WORD}), third AS (SELECT question_id, mention, id, name, type FROM tg_questions JOIN fuzzy USING (mention))
+SELECT *, 'exact' AS stage FROM exact UNION ALL SELECT *, 'word_boundary' FROM word WHERE (question_id, mention) NOT IN (SELECT question_id, mention FROM exact)
+UNION ALL SELECT *, 'fuzzy' FROM third WHERE (question_id, mention) NOT IN (SELECT question_id, mention FROM exact)
+  AND (question_id, mention) NOT IN (SELECT question_id, mention FROM word)""")
 def q5(t):
     return lk.link(mentions(t), t.tg_entities)
 

@@ -51,17 +51,35 @@ def test_fuzzy_equals_brute_force(spark):
     names = sorted(set(words))
     a = spark.createDataFrame([(m,) for m in asked], "mention string")
     b = spark.createDataFrame([(n,) for n in names], "name string")
-    for cutoff in (80, 90):
+    for cutoff in (40, 66, 80, 90):
         want = {(m, n) for m in asked for n in names if ratio(m, n) >= cutoff}
         assert {(r["mention"], r["name"]) for r in lk.fuzzy_pairs(a, b, cutoff).collect()} == want
     entities = b.select(F.col("name").alias("id"), "name", F.lit("ORG").alias("type"))
-    best = lk.link_fuzzy(a.withColumn("question_id", F.lit(1)), entities).collect()
-    got = {}
-    for r in best:
-        got.setdefault(r["mention"], set()).add(r["id"])
-    for m in asked:
-        ranked = sorted((n for n in names if ratio(m, n) >= 80), key=lambda n: (-ratio(m, n), n))[:3]
-        assert got.get(m, set()) == set(ranked)
+    for cutoff, k in ((80, 3), (50, 2), (100, 1)):
+        got = {}
+        for r in lk.link_fuzzy(a.withColumn("question_id", F.lit(1)), entities, cutoff, k).collect():
+            got.setdefault(r["mention"], set()).add(r["id"])
+        for m in asked:
+            ranked = sorted((n for n in names if ratio(m, n) >= cutoff), key=lambda n: (-ratio(m, n), n))[:k]
+            assert got.get(m, set()) == set(ranked), (m, cutoff)
+
+
+def test_struck_letters_find_every_close_pair(spark):
+    rng = random.Random(8)
+    base = ["Customer#00000" + "".join(rng.choices("0123", k=4)) for _ in range(60)] + ["x" * 39, "x" * 41, "x" * 43, "", "ab", "a"]
+    names = sorted(set(base))
+    asked = sorted({mistyped(rng, w) for w in names} | {"", "x" * 40, "x" * 42, "customer#000000123"})
+    a, b = (spark.createDataFrame([(m,) for m in some], f"{name} string") for some, name in ((asked, "mention"), (names, "name")))
+    for letters in (0, 1, 2):
+        got = {(r["mention"], r["name"]) for r in lk.struck_pairs(a, b, letters).collect()}
+
+        def near(m, n):
+            common = ratio(m, n) * (len(m) + len(n)) / 200
+            return max(len(m), len(n)) - common <= letters + 1e-9
+
+        assert got == {(m, n) for m in asked for n in names if len(m) <= 40 and len(n) <= 40 + letters and near(m, n)}
+        bound = {r["mention"]: r["bound"] for r in lk._unseen(b, a, letters).collect()}
+        assert all(ratio(m, n) <= bound[m] + 1e-9 for m in asked for n in names if m and (m, n) not in got)
 
 
 def test_link_cascade(spark):
