@@ -229,9 +229,11 @@ class Scorer:
 
     def _said(self, chunk: str) -> set[str]:
         """The words of a text without white space, as they stand and restored."""
+        core = chunk.rstrip(".,;:?")
+        if core.isalpha():  # nothing to decode but repeated letters, which belong to the features of a word
+            return {core}
         out = {w for token in TOKEN.findall(chunk) for w in ((token,) if token.isalpha() else WORDS.findall(token))}
-        if not chunk.isalpha():
-            out.update(self.chunk(chunk))
+        out.update(self.chunk(chunk))
         return out
 
     def words(self, text: str) -> set[str]:
@@ -256,10 +258,10 @@ class Scorer:
 
     def weighted(self, word: str) -> tuple[str, ...]:
         """Of the features of a word those that have a weight."""
-        if word[:4] not in self.fours and not REPEATED.search(word):
-            return ()
         found = self.known.get(word)
         if found is None:
+            if word[:4] not in self.fours and (not REPEATED.search(word) or self._vain(word)):
+                return ()
             if len(self.known) > self.keep:
                 self.known.clear()
             found = self.known[word] = tuple(f for f in self.all_features(word) if f in self.weights)
@@ -425,9 +427,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, least: int = 3,
 
     def found(batch: pa.RecordBatch) -> dict[str, list]:
         one = scorer(chosen_features)
-        rows_ = zip(batch.column("text").to_pylist(), batch.column("words").to_pylist())
-        found = [{place[f] for w in words for f in beginnings(w) if f in place}.union(place[f] for w in one.joined(text) for f in one.weighted(w)) for text, words in rows_]
-        return {"toxic": batch.column("toxic").to_pylist(), "found": list(map(sorted, found))}
+        rows_, out = zip(batch.column("text").to_pylist(), batch.column("words").to_pylist()), []
+        for text, words in rows_:  # the words hold what repeats stand for, so a word's own beginnings are all it adds
+            held_ = {place[f] for w in words if w[:4] in one.fours for f in beginnings(w) if f in place}
+            out.append(sorted(held_.union(place[f] for w in one.joined(text) for f in one.weighted(w))))
+        return {"toxic": batch.column("toxic").to_pylist(), "found": out}
 
     table = sorted((r["toxic"], r["found"]) for r in map_rows(decoded, "toxic int, found array<int>", found).collect())
     if not table:
