@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,11 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.ordering import top_per_group
+from factloom.session import stored
 
 # rows of one query block and of one index block: at 512 float32 dimensions 16 MB and 64 MB per task
 QUERY_BLOCK, INDEX_BLOCK = 8_192, 32_768
 
 
+# one pivot for each CELL vectors of the index, at most PIVOTS
+CELL, PIVOTS = 1_024, 256
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
 
@@ -34,34 +42,114 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / size
 
 
-def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_block: int = QUERY_BLOCK,
-                index_block: int = INDEX_BLOCK) -> DataFrame:
+def _matrix(column) -> np.ndarray:
+    return _unit(np.stack(column.to_numpy()).astype(np.float64)) if len(column) else np.zeros((0, 1))
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """What is known of the index without its vectors: the pivots, and of each block its pivot, its rows and how far from the pivot they are."""
+
+    pivots: np.ndarray
+    block: np.ndarray
+    cell: np.ndarray
+    rows: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def best_possible(self, unit: np.ndarray) -> np.ndarray:
+        """Per query and block the highest similarity that the triangle inequality of angles leaves possible (a zero vector has 0 with all)."""
+        away = _angles(unit, self.pivots)[:, self.cell]
+        gap = np.maximum(np.maximum(away - self.high, self.low - away), 0)
+        return np.where((np.linalg.norm(unit, axis=1) < 0.5)[:, None], 0.0, np.cos(np.minimum(gap, np.pi)))
+
+    def first(self, possible: np.ndarray, k: int) -> np.ndarray:
+        """Per query the most promising blocks, as many as hold k vectors besides its own."""
+        order = np.argsort(-possible, axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        chosen = np.zeros(possible.shape, bool)
+        np.put_along_axis(chosen, order, before < k + 1, axis=1)
+        return chosen
+
+
+def _placed(df: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
+    """Adds ``cell``, the nearest pivot, and ``angle``, how far it is."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            away = _angles(_matrix(frame["vector"]), pivots) if len(frame) else np.zeros((0, len(pivots)))
+            yield frame.assign(cell=away.argmin(axis=1).astype(np.int32), angle=away.min(axis=1, initial=np.pi))
+
+    rows = df.select(key, F.col("vector").cast("array<double>").alias("vector"))
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
+
+
+def _cut(placed: DataFrame, index_block: int) -> DataFrame:
+    """Adds ``block``: a cell, or where it is large its four shells of equal size by distance from the pivot, in hash parts of bounded size."""
+    shells = F.when(F.col("n") > 4 * CELL, 4).otherwise(1)
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("angle", [0.25, 0.5, 0.75]).alias("quarters")).select(
+        "cell", "quarters", shells.alias("shells"), F.ceil(F.col("n") / shells / index_block).alias("parts"))
+    shell = F.when(F.col("shells") > 1, F.size(F.filter("quarters", lambda q: q < F.col("angle")))).otherwise(0)
+    # at most PIVOTS rows are broadcast
+    return placed.join(F.broadcast(sizes), "cell").withColumn("block", (
+        F.col("cell").cast("bigint") * 4 + shell) * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+
+
+def _visits(queries: DataFrame, blocks: Blocks, k: int, again: bool) -> DataFrame:
+    """query_id, vector, part, block: the blocks that a query visits first, or (``again``) those that can still hold one of its k nearest given ``kth``."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, 4_000_000 // len(blocks.block))
+        for whole in frames:
+            for start in range(0, len(whole), step):
+                frame = whole.iloc[start:start + step]
+                possible = blocks.best_possible(_matrix(frame["vector"]))
+                chosen = blocks.first(possible, k)
+                if again:  # similarities are rounded to six digits, and ties count
+                    chosen = ~chosen & (possible + 2e-6 >= frame["kth"].to_numpy()[:, None])
+                row, block = np.nonzero(chosen)
+                yield pd.DataFrame({"query_id": frame["query_id"].to_numpy()[row], "vector": frame["vector"].to_numpy()[row],
+                                    "part": frame["part"].to_numpy()[row], "block": blocks.block[block]})
+
+    given = queries.schema
+    return queries.mapInPandas(run, T.StructType([given["query_id"], given["vector"], given["part"], T.StructField("block", T.LongType())]))
+
+
+def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_block: int = QUERY_BLOCK, index_block: int = INDEX_BLOCK,
+                pivots: int | None = None, report: dict | None = None) -> DataFrame:
     """The k nearest index vectors of every query, exactly: (query_id, vec_id, similarity, rank).
 
     ``queries``: (query_id, vector); ``index``: (vec_id, vector). A vector is no neighbour of a query with its own id.
 
-    Both sides are cut into hash blocks of bounded size; each task multiplies one query block with one index block as a
-    matrix product and keeps k rows per query, so pairs never become rows and the second shuffle carries k rows per
-    query and index block. Similarities are rounded to 6 digits so that ties break by id everywhere.
+    The index is cut into cells around pivots, a bounded sample of it (one for each ``CELL`` vectors, at most ``PIVOTS``), and large cells into shells and
+    parts of bounded size. A query first visits the blocks that promise most, then, knowing its k-th similarity, those that the triangle inequality of
+    angles does not rule out. A task multiplies the queries of one part (neighbours, at most about ``query_block``) with one block as a matrix
+    product and keeps k rows for each query, so pairs never become rows. Where vectors have no structure no block is ruled out and this is the full
+    product. The driver holds five numbers for each block. Similarities are rounded to 6 digits so that ties break by id everywhere. ``report`` receives how many pairs
+    were compared, and how many there are.
     """
-    n_q = max(1, -(-queries.count() // query_block))
-    n_i = max(1, -(-index.count() // index_block))
-
-    def cut(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return (df.select(key, "vector").withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))))
-
-    left = cut(queries, "query_id", "qb", n_q, "ib", n_i)
-    right = cut(index, "vec_id", "ib", n_i, "qb", n_q)
-    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
-                           T.StructField("vec_id", index.schema["vec_id"].dataType),
-                           T.StructField("similarity", T.DoubleType())])
+    key_types = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", index.schema["vec_id"].dataType)]
+    schema = T.StructType([*key_types, T.StructField("similarity", T.DoubleType())])
+    n_queries, n_index = queries.count(), index.count()
+    wanted = pivots or min(PIVOTS, max(1, n_index // CELL))
+    sample = [r["vector"] for r in index.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()]
+    if not sample or not n_queries:
+        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    chosen = _unit(np.array(sample, np.float64))
+    placed = stored(_cut(_placed(index, "vec_id", chosen), index_block).select("vec_id", "vector", "cell", "angle", "block"), "index")
+    stats = placed.groupBy("block", "cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).orderBy("block").toPandas()
+    blocks = Blocks(chosen, *(stats[c].to_numpy() for c in ("block", "cell", "n", "low", "high")))
+    spread = max(1, -(-n_queries // (query_block * len(sample))))
+    asked = stored(_placed(queries, "query_id", chosen).select(
+        "query_id", "vector", (F.col("cell") * spread + F.pmod(F.xxhash64("query_id"), F.lit(spread))).cast("int").alias("part")), "queries")
 
     def nearest(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
         ids, vec_ids = q["query_id"].to_numpy(), v["vec_id"].to_numpy()
-        a, b = _unit(np.stack(q["vector"]).astype(np.float64)), _unit(np.stack(v["vector"]).astype(np.float64))
+        a, b = _matrix(q["vector"]), _matrix(v["v"])
         best_sim = best_id = None
         for start in range(0, len(vec_ids), 2048):
             part = vec_ids[start:start + 2048]
@@ -76,5 +164,18 @@ def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_block: int =
                             "similarity": best_sim.ravel()})
         return out[np.isfinite(out["similarity"])]
 
-    found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(nearest, schema)
-    return top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
+    def compared(visits: DataFrame) -> DataFrame:
+        meeting = visits.select(F.col("part").alias("at_part"), F.col("block").alias("at_block")).distinct()  # an index block goes only where a query waits for it
+        right = placed.join(meeting, F.col("block") == F.col("at_block")).select("vec_id", F.col("vector").alias("v"), "at_part", "at_block")
+        return visits.groupBy("part", "block").cogroup(right.groupBy("at_part", "at_block")).applyInPandas(nearest, schema)
+
+    visits = _visits(asked, blocks, k, again=False)
+    found = stored(compared(visits), "found")
+    kth = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("similarity"), asc=False), k, 1).alias("s")).select(
+        "query_id", F.coalesce(F.get("s", 0), F.lit(-2.0)).alias("kth"))  # a query's first blocks give a few times k rows
+    more = _visits(asked.join(kth, "query_id", "left").fillna(-2.0, ["kth"]), blocks, k, again=True)
+    if report is not None:
+        rows = {int(b): int(n) for b, n in zip(blocks.block, blocks.rows)}
+        both = visits.select("block").unionByName(more.select("block")).groupBy("block").count().collect()
+        report.update(compared=sum(rows[r["block"]] * r["count"] for r in both), pairs=n_queries * n_index, blocks=len(rows))
+    return top_per_group(found.unionByName(compared(more)), ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)

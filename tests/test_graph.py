@@ -131,12 +131,46 @@ def test_cosine_blocks_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     vecs = rng.normal(size=(60, 8)).astype("float32")
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, vector array<float>")
-    found = cosine_topk(df.withColumnRenamed("vec_id", "query_id"), df, 4, query_block=7, index_block=11).collect()
-    unit = vecs.astype("float64") / np.linalg.norm(vecs.astype("float64"), axis=1, keepdims=True)
-    sims = np.round(unit @ unit.T, 6)
-    for q in range(60):
-        want = sorted((i for i in range(60) if i != q), key=lambda i: (-sims[q, i], i))[:4]
-        assert [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == want
+    found = cosine_topk(df.withColumnRenamed("vec_id", "query_id"), df, 4, query_block=7, index_block=11, pivots=5).collect()
+    check_nearest(found, vecs, vecs, 4)
+
+
+def check_nearest(found, asked, vecs, k):
+    import numpy as np
+
+    def unit(v):
+        size = np.linalg.norm(v.astype("float64"), axis=1, keepdims=True)
+        return v.astype("float64") / np.where(size == 0, 1e-9, size)
+
+    sims = np.round(unit(asked) @ unit(vecs).T, 6)
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["similarity"]))
+    for q in range(len(asked)):
+        want = sorted((i for i in range(len(vecs)) if i != q), key=lambda i: (-sims[q, i], i))[:k]
+        assert [v for v, _ in got.get(q, [])] == want, q
+
+
+def test_cosine_pivots_rule_out_most_of_clustered_vectors(spark, monkeypatch):
+    import numpy as np
+
+    from factloom.functions import vectors
+
+    monkeypatch.setattr(vectors, "CELL", 40)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16)) * 4
+    vecs = (centres[rng.integers(0, 20, 1500)] + rng.normal(size=(1500, 16)) * 0.4).astype("float32")
+    vecs[[3, 700]] = 0  # a zero vector is at right angles to all
+    vecs[900:910] = vecs[0]  # ties go by id
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, vector array<float>")
+    report = {}
+    found = cosine_topk(df.withColumnRenamed("vec_id", "query_id"), df, 5, query_block=50, index_block=100, report=report)
+    check_nearest(found.collect(), vecs, vecs, 5)
+    assert report["pairs"] == 1500 ** 2 and report["compared"] < 0.5 * report["pairs"] and report["blocks"] > 20
+    none = df.limit(0)
+    assert cosine_topk(none.withColumnRenamed("vec_id", "query_id"), df, 5).collect() == cosine_topk(df.withColumnRenamed("vec_id", "query_id"), none, 5).collect() == []
+    few = cosine_topk(df.filter("vec_id < 4").withColumnRenamed("vec_id", "query_id"), df.filter("vec_id < 3"), 5).collect()
+    check_nearest(few, vecs[:4], vecs[:3], 5)
 
 
 def test_upsert_is_idempotent_and_order_free(spark):
