@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.ordering import running_total
 from factloom.functions.text import normalize_name
+from factloom.session import stored
 
 PAIR = ["doc", "h", "t"]
 
@@ -255,6 +256,30 @@ def pair_graph(pairs: DataFrame, directed: bool = False) -> DataFrame:
     return same.unionByName(bridge)
 
 
+def pair_neighbour_sums(pairs: DataFrame, values: list[str]) -> DataFrame:
+    """What the pair graph adds up for each pair, without its edges: per edge type the number of neighbours and the sum of each of ``values`` over them.
+
+    Columns ``<type>_n`` and ``<type>_<value>`` for same_head, same_tail, succ, pred and bridge. ``pairs``: distinct (doc, h, t, *values) with h <> t. Pairs that share an
+    end share its sums, so the list of pairs of pairs is never made: a pair's own share is taken from its ends' sums, and the reverse pair, which
+    follows and precedes at once, from the bridge's.
+    """
+    of = lambda c: F.coalesce(F.col(c), F.lit(0))
+    own = pairs.select("doc", "h", "t", *[F.coalesce(v, F.lit(0)).alias(v) for v in values]).withColumn("n", F.lit(1).cast("bigint"))
+    sums = ["n", *values]
+
+    def end(column: str, name: str) -> DataFrame:
+        return own.groupBy("doc", F.col(column).alias("e")).agg(*[F.sum(v).alias(f"{name}_{v}") for v in sums])
+
+    ends = stored(end("h", "as_head").join(end("t", "as_tail"), ["doc", "e"], "full_outer"), "ends")
+    at = lambda column: ends.select("doc", F.col("e").alias(column), *[F.col(f"{k}_{v}").alias(f"{column}_{k}_{v}") for k in ("as_head", "as_tail") for v in sums])
+    back = own.select("doc", F.col("h").alias("t"), F.col("t").alias("h"), *[F.col(v).alias(f"back_{v}") for v in sums])
+    joined = own.join(at("h"), ["doc", "h"]).join(at("t"), ["doc", "t"]).join(back, ["doc", "h", "t"], "left")
+    kinds = {"same_head": lambda v: of(f"h_as_head_{v}") - of(v), "same_tail": lambda v: of(f"t_as_tail_{v}") - of(v),
+             "succ": lambda v: of(f"t_as_head_{v}"), "pred": lambda v: of(f"h_as_tail_{v}"),
+             "bridge": lambda v: of(f"t_as_head_{v}") + of(f"h_as_tail_{v}") - of(f"back_{v}")}
+    return joined.select("doc", "h", "t", *[kind(v).alias(f"{name}_{v}") for name, kind in kinds.items() for v in sums])
+
+
 def sub_document(keep: DataFrame, ments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Restrict documents to the (doc, sent_id) rows of ``keep``: sentence map, entity map, re-indexed mentions."""
     kept = keep.select("doc", "sent_id").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.session import stored
 from factloom.functions.ordering import top_per_group
 from factloom.operators.docmodel import PAIR
 
@@ -145,11 +146,47 @@ def best_of(swept: DataFrame) -> DataFrame:
     return swept.agg(F.max_by(F.struct("value", "precision", "recall", "f1"), F.struct("f1", -F.col("pos"))).alias("b")).select("b.*")
 
 
-def uncertain(decision: DataFrame, margin: float, cap: int) -> DataFrame:
-    """Class rows within ``margin`` of the threshold: closest first, at most ``cap`` overall (the call budget)."""
-    near = decision.filter(F.abs("margin") < margin).withColumn(
-        "side", F.when(F.col("margin") > 0, "above").otherwise("below"))
-    return near.orderBy(F.abs(F.col("margin")), *PAIR, "class_id").limit(cap)
+def first_value_over(rows: DataFrame, column: str, budget: int, bins: int = 1024) -> tuple[object, int] | None:
+    """The smallest value of a number column up to which at least ``budget`` rows lie, and how many lie below it; None where there are fewer rows.
+
+    A histogram of at most ``bins`` rows narrows the range to one bin, again and again until the bin holds one value, so nothing is sorted.
+    """
+    low, high, n = rows.agg(F.min(column), F.max(column), F.count(column)).first()
+    if n < budget or not budget:
+        return None
+    below = 0
+    while low != high:
+        width = (high - low) / bins
+        place = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(bins - 1)) if width > 0 else F.when(F.col(column) > F.lit(low), 1).otherwise(0)
+        inside = rows.filter((F.col(column) >= F.lit(low)) & (F.col(column) <= F.lit(high)))
+        for _, n, least, most in sorted(tuple(r) for r in inside.groupBy(place.alias("bin")).agg(F.count("*"), F.min(column), F.max(column)).collect()):
+            if below + n >= budget:
+                low, high = least, most
+                break
+            below += n
+    return low, below
+
+
+def uncertain_packs(decision: DataFrame, margin: float, budget: int, per_pack: int = 20) -> DataFrame:
+    """Class rows within ``margin`` of the threshold, packed per document for ``budget`` calls: adds ``side``, ``pack``, ``place`` in it, ``asked``.
+
+    A document's rows fill packs of ``per_pack``, closest to the threshold first; the packs with the closest rows are asked, ties by document, then by
+    pack, exactly ``budget`` of them (or all). The others stay in the result with ``asked`` false, so a cut is seen.
+    """
+    near = decision.filter(F.abs("margin") < margin).withColumn("side", F.when(F.col("margin") > 0, "above").otherwise("below"))
+    rank = F.row_number().over(W.partitionBy("doc").orderBy(F.abs(F.col("margin")), "h", "t", "class_id")) - 1
+    rows = stored(near.withColumn("rank", rank).withColumn("pack", F.floor(F.col("rank") / per_pack)).withColumn("place", F.col("rank") % per_pack).drop("rank"), "near")
+    packs = rows.filter("place = 0").select("doc", "pack", F.abs("margin").alias("closest"))  # a pack's first row is its closest
+    edge = first_value_over(packs, "closest", budget)
+    if edge is None:
+        return rows.withColumn("asked", F.lit(budget > 0))
+    closest, below = edge
+    asked = F.col("closest") < F.lit(closest)
+    tied = packs.filter(F.col("closest") == F.lit(closest))
+    doc, before = first_value_over(tied, "doc", budget - below)
+    last = tied.filter(F.col("doc") == F.lit(doc)).orderBy("pack").limit(budget - below - before)  # packs of one document
+    chosen = packs.filter(asked).unionByName(tied.filter(F.col("doc") < F.lit(doc))).unionByName(last).select("doc", "pack", F.lit(True).alias("asked"))
+    return rows.join(chosen, ["doc", "pack"], "left").fillna(False, ["asked"])
 
 
 def type_constraints(triples: DataFrame, rules: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from factloom.functions.text import strip_legal_suffix, value_key
 from factloom.operators.graph import EDGE_KEY, latest_per_key
 from factloom.schemas import ENTITY_TYPES, FUNCTIONAL_FOR_MERGE, FUNCTIONAL_RELATIONS, GEO_RELATIONS, HIERARCHY_RELATIONS
-from factloom.session import checkpointed
+from factloom.session import checkpointed, stored
 
 
 # --- over-merged entities ----------------------------------------------------------------------------------------
@@ -228,9 +228,23 @@ def type_split_report(entities: DataFrame) -> DataFrame:
         F.count("*").alias("n_types"), F.array_join(F.sort_array(F.collect_list("type")), ",").alias("types")).filter("n_types > 1")
 
 
-def open_triangles(edges: DataFrame, first: str, second: str, closing: str) -> DataFrame:
-    """A -first-> B -second-> C without A -closing-> C: (a, b, c)."""
+HUB = 10_000  # first edges into a centre that one task joins
+
+
+def open_triangles(edges: DataFrame, first: str, second: str, closing: str, hub: int | None = None) -> DataFrame:
+    """A -first-> B -second-> C without A -closing-> C: (a, b, c).
+
+    The first edges of a centre B of more than ``hub`` are dealt into parts by A, and its second edges go to each part, so a centre with a third of all
+    edges is many tasks.
+    """
     of = lambda kind, x, y: edges.filter(F.col("relation_type") == kind).select(
         F.col("head_id").alias(x), F.col("tail_id").alias(y)).distinct()
-    paths = of(first, "a", "b").join(of(second, "b", "c"), "b").filter("a <> c")
+    hub = hub or HUB
+    into, out = of(first, "a", "b"), of(second, "b", "c")
+    heavy = into.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > hub).select("b", F.ceil(F.col("n") / hub).cast("int").alias("parts"))
+    heavy = stored(heavy, "hubs")  # at most a row for each ``hub`` edges
+    parts = F.coalesce("parts", F.lit(1))
+    left = into.join(heavy, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
+    right = out.join(heavy, "b", "left").select("b", "c", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    paths = left.join(right, ["b", "part"]).filter("a <> c").select("a", "b", "c")
     return paths.join(of(closing, "a", "c"), ["a", "c"], "left_anti").select("a", "b", "c")

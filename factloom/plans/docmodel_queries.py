@@ -239,6 +239,31 @@ def d21(t):
     return dm.pair_graph(labelled_pairs(t), directed=True)
 
 
+# every candidate pair with the number of its labels; each row adds up a document's pairs, weighed with their ends so that no two pairs are alike
+def pair_sums(kind: str, on: str) -> str:
+    return f"""SELECT p.doc, p.h, p.t, '{kind}' AS edge_type, count(q.h) AS n, coalesce(sum(q.labels), 0) AS labels
+FROM v p LEFT JOIN v q ON q.doc = p.doc AND {on} AND NOT (q.h = p.h AND q.t = p.t) GROUP BY p.doc, p.h, p.t"""
+
+
+@query("d20_pair_neighbour_sums", f"""
+WITH v AS (SELECT p.doc, p.h, p.t, coalesce(l.labels, 0) AS labels FROM pl_pairs p LEFT JOIN (SELECT doc, h, t, count(*) AS labels FROM oc_labels GROUP BY doc, h, t) l
+  ON l.doc = p.doc AND l.h = p.h AND l.t = p.t),
+s AS ({pair_sums('same_head', 'q.h = p.h')} UNION ALL {pair_sums('same_tail', 'q.t = p.t')} UNION ALL {pair_sums('succ', 'q.h = p.t')}
+  UNION ALL {pair_sums('pred', 'q.t = p.h')} UNION ALL {pair_sums('bridge', '(q.h = p.t AND p.doc = q.doc)')} UNION ALL
+  (SELECT p.doc, p.h, p.t, 'bridge', count(*), sum(q.labels) FROM v p JOIN v q ON q.doc = p.doc AND q.t = p.h AND q.h <> p.t GROUP BY p.doc, p.h, p.t))
+SELECT doc, edge_type, sum(n)::BIGINT AS n_edges, sum(labels)::BIGINT AS labels, sum(n * (3 * h + 1) * (5 * t + 2))::BIGINT AS weighed_edges,
+  sum(labels * (3 * h + 1) * (5 * t + 2))::BIGINT AS weighed_labels FROM s GROUP BY doc, edge_type""")
+def d20_sums(t):
+    labels = t.oc_labels.groupBy("doc", "h", "t").agg(F.count("*").alias("labels"))
+    found = dm.pair_neighbour_sums(t.pl_pairs.select("doc", "h", "t").join(labels, ["doc", "h", "t"], "left"), ["labels"])
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("edge_type"), F.col(f"{k}_n").alias("n"), F.col(f"{k}_labels").alias("labels"))
+                               for k in ("same_head", "same_tail", "succ", "pred", "bridge")]))
+    weight = (3 * F.col("h") + 1) * (5 * F.col("t") + 2)
+    return found.select("doc", weight.cast("bigint").alias("w"), kinds).groupBy("doc", "edge_type").agg(
+        F.sum("n").alias("n_edges"), F.sum("labels").alias("labels"), F.sum(F.col("n") * F.col("w")).alias("weighed_edges"),
+        F.sum(F.col("labels") * F.col("w")).alias("weighed_labels"))
+
+
 @query("d22_sub_document", """
 WITH keep AS (SELECT DISTINCT doc, sent_id FROM oc_items WHERE l_quantity > 15),
 inside AS (SELECT m.*, dense_rank() OVER (PARTITION BY doc ORDER BY sent_id) - 1 AS ns,

@@ -205,10 +205,17 @@ def margins(t):
 
 
 @query("m10_uncertain", f"""
-SELECT doc, h, t, class_id, round(margin, 9) AS margin, CASE WHEN margin > 0 THEN 'above' ELSE 'below' END AS side FROM ({ALL_MARGINS})
-WHERE abs(margin) < 0.5 ORDER BY abs(margin), doc, h, t, class_id LIMIT 1000""")
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY abs(margin), h, t, class_id) - 1 AS rank FROM ({ALL_MARGINS}) WHERE abs(margin) < 0.5),
+p AS (SELECT doc, rank // 20 AS pack, count(*) AS n_rows, min(abs(margin)) AS closest, count(*) FILTER (margin > 0) AS above,
+  string_agg(h || '>' || t || ':' || class_id, ' ' ORDER BY rank) AS triples FROM n GROUP BY doc, rank // 20)
+SELECT doc, pack, n_rows, round(closest, 9) AS closest, above, triples, row_number() OVER (ORDER BY closest, doc, pack) <= 1000 AS asked FROM p""")
 def m10(t):
-    return rounded(pp.uncertain(margins(t), 0.5, 1000), "margin")
+    rows = pp.uncertain_packs(margins(t), 0.5, 1000)
+    triple = F.concat(F.col("h").cast("string"), F.lit(">"), F.col("t").cast("string"), F.lit(":"), F.col("class_id").cast("string"))
+    packs = rows.groupBy("doc", "pack", "asked").agg(
+        F.count("*").alias("n_rows"), F.round(F.min(F.abs("margin")), 9).alias("closest"), F.count_if(F.col("side") == "above").alias("above"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("place", triple.alias("triple")))).getField("triple"), " ").alias("triples"))  # at most a pack
+    return packs
 
 
 @query("m11_type_constraints", """
