@@ -86,12 +86,18 @@ def link_word_boundary(mentions: DataFrame, entities: DataFrame, k: int = SEEDS_
     index = _surfaces(entities).select("*", F.explode(F.array_distinct(_runs(F.col("surface")))).alias("key"))
     asked = _asked(mentions).filter(F.char_length("mention") > 0)
     low = F.lower("mention")
+    # every surface with the word of a one-word mention is a match, so the index is cut to k entities a word before it meets the mentions
+    plain = F.col("mention").rlike("^[A-Za-z0-9_]+$")
+    single = asked.filter(plain).select("mention", low.alias("key"))
+    hits = index.join(single.select("key").distinct(), "key", "left_semi").filter(F.rlike("surface", boundary_pattern(F.col("key"))))
+    best = top_per_group(hits.select("key", "id", "name", "type").dropDuplicates(["key", "id"]), ["key"], [F.asc("id")], k).drop("rank")
+    of_one = single.join(best, "key").select("mention", "id", "name", "type")
     words = F.filter(F.split(low, "[^a-z0-9_]+"), lambda r: r != "")
-    keys = asked.select("mention", F.explode(F.array_distinct(
+    keys = asked.filter(~plain).select("mention", F.explode(F.array_distinct(
         F.when(F.size(words) > 0, words).otherwise(F.array(low)))).alias("key"))
     found = (_rarest(keys, index).join(index, "key")
              .filter(F.rlike("surface", boundary_pattern(F.col("mention")))))
-    return _per_question(mentions, _limited(found, k))
+    return _per_question(mentions, of_one.unionByName(_limited(found, k)))
 
 
 def _grams(text: Column, n: int) -> Column:

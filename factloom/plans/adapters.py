@@ -145,6 +145,7 @@ SELECT c_custkey, s_name || '::ORG', s_name,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'HEAD_OF_STATE' WHEN 'MACHINERY' THEN 'MANUFACTURER' ELSE 'COUNTRY' END
 FROM customer JOIN supplier ON s_suppkey = c_custkey"""
 # facts retrieved per question: every edge of the customer's nation and of the nation's region
+# the facts of a question: its customer, the suppliers that it has bought from, and a part
 VIEWS["tg_facts"] = """
 SELECT c_custkey AS question_id, c_name AS head, 'COUNTRY' AS relation, n_name AS tail, c_name || ' trades from ' || n_name AS evidence
 FROM customer JOIN nation ON n_nationkey = c_nationkey
@@ -152,8 +153,8 @@ UNION ALL
 SELECT c_custkey, n_name, 'PART_OF', r_name, n_name || ' lies in ' || r_name
 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
 UNION ALL
-SELECT c_custkey, s_name, 'COUNTRY', n_name, CASE WHEN s_acctbal > 1000 THEN s_name || ' is based in ' || n_name END
-FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN supplier ON s_nationkey = n_nationkey
+SELECT DISTINCT o_custkey, s_name, 'COUNTRY', n_name, CASE WHEN s_acctbal > 1000 THEN s_name || ' is based in ' || n_name END
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
 UNION ALL
 SELECT c_custkey, p_name, 'MANUFACTURER', c_mktsegment, cast(NULL AS string)
 FROM customer JOIN part ON p_partkey = c_custkey"""

@@ -125,12 +125,13 @@ def e10(t):
 @query("e11_select_topk_cosine", """
 SELECT a.vec_id AS query, b.vec_id AS sent_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id)::INT AS rank
-FROM embeddings a JOIN embeddings b ON b.label = (a.label + 1) % 10 QUALIFY rank <= 3""")
+FROM embeddings a JOIN embeddings b ON b.vec_id // 40 = a.vec_id // 40 AND b.vec_id <> a.vec_id QUALIFY rank <= 3""")
 def e11(t):
-    e = t.embeddings
-    pairs = e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("a"), F.pmod(F.col("label") + 1, F.lit(10)).alias("doc"))
-    sents = e.select(F.col("vec_id").alias("sent_id"), F.col("embedding").alias("b"), F.col("label").alias("doc"))
-    similar = pairs.join(sents, "doc").select("query", "sent_id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """Every vector against the sentences of its own document, which are forty vectors in a row here."""
+    e = t.embeddings.withColumn("doc", F.floor(F.col("vec_id") / 40))
+    pairs = e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("a"), "doc")
+    sents = e.select(F.col("vec_id").alias("sent_id"), F.col("embedding").alias("b"), "doc")
+    similar = pairs.join(sents, "doc").filter("query <> sent_id").select("query", "sent_id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
     return ev.select_topk(similar, 3)
 
 
