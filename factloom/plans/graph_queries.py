@@ -11,7 +11,8 @@ from factloom.operators import graph as g
 from factloom.plans.docmodel_queries import text_sentences
 from factloom.plans.evidence_queries import PRED_RESOLVED, decoded, prediction_rows, resolved
 from factloom.plans.registry import query
-from factloom.sources import readers, writers
+from factloom.session import shared_folder
+from factloom.sources import readers, snapshots, writers
 
 SLUG = "upper(trim(regexp_replace({c}, '[^A-Za-z0-9]+', '_', 'g'), '_'))"
 JOINED_EDGE = """e.head_id, ch.name AS head_name, ch.type AS head_type, e.relation_id, e.relation_name, e.tail_id,
@@ -75,7 +76,6 @@ SELECT head_id, head_name, head_type, relation_id, relation_name, {SLUG.format(c
   confidence, split, cast(document AS varchar) AS document, array_to_string(sentence_id, '; ') AS sentence_id, coalesce(array_to_string(texts, ' | '), '') AS evidence,
   evidence_source, is_revised FROM ({EDGES_NAMED})""")
 def s10(t):
-    from factloom.session import shared_folder
     path = shared_folder(t.spark, "flat")
     writers.write_csv(writers.to_flat_triples(corpus_edges(t), corpus_entities(t)), path)
     return readers.read_flat_triples(t.spark, path)
@@ -174,26 +174,20 @@ def s17(t):
 
 
 @query("s18_rebuild_then_overlay", """
-SELECT relation_type, count(*) AS n_edges, count(*) FILTER (confidence < 0.5) AS n_low FROM (
-  SELECT head_id, relation_type, tail_id, document, CASE WHEN relation_type = 'MANUFACTURER' THEN 0.25e0 ELSE confidence END AS confidence FROM tg_edges
-  UNION ALL SELECT c_name || '::ORG', 'SEGMENT', c_mktsegment || '::MISC', 'customer-' || c_custkey, 0.4e0 FROM customer) GROUP BY relation_type""")
+SELECT head_id, relation_type, tail_id, document, CASE WHEN relation_type = 'MANUFACTURER' THEN 0.25e0 ELSE confidence END AS confidence FROM tg_edges
+UNION ALL SELECT c_name || '::ORG', 'SEGMENT', c_mktsegment || '::MISC', 'customer-' || c_custkey, 0.4e0 FROM customer""")
 def s18(t):
-    from factloom.session import shared_folder
+    """All edges, then an overlay of one relation type again and of a new one; buckets of the other types stay as they were written first."""
     path = shared_folder(t.spark, "graph")
     seq = F.xxhash64(*g.EDGE_KEY)
     base = t.tg_edges.select(*g.EDGE_KEY, "confidence").withColumn("seq", seq)
-    writers.write_graph(t.tg_entities, base, path, "rebuild")
+    snapshots.write_graph(t.tg_entities, base, path, "rebuild")
     update = base.filter("relation_type = 'MANUFACTURER'").withColumn("confidence", F.lit(0.25))
     extra = t.customer.select(F.concat("c_name", F.lit("::ORG")).alias("head_id"), F.lit("SEGMENT").alias("relation_type"),
                               F.concat("c_mktsegment", F.lit("::MISC")).alias("tail_id"),
                               F.concat(F.lit("customer-"), "c_custkey").alias("document"), F.lit(0.4).alias("confidence")).withColumn("seq", seq)
-    writers.write_graph(t.tg_entities, update.unionByName(extra), path, "overlay")
-    edges = readers_graph(t, path)
-    return edges.groupBy("relation_type").agg(F.count("*").alias("n_edges"), F.count_if(F.col("confidence") < 0.5).alias("n_low"))
-
-
-def readers_graph(t, path):
-    return writers.read_graph(t.spark, path)[1]
+    snapshots.write_graph(t.tg_entities, update.unionByName(extra), path, "overlay")
+    return snapshots.read_graph(t.spark, path)[1].drop("seq")
 
 
 @query("g1_global_entity_id", "SELECT doc, entity, name || '::' || type AS id FROM canon")
