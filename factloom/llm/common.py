@@ -46,6 +46,12 @@ def arrow_type(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
 
+def in_parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows``, so that only few texts are Python strings at a time."""
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
 def map_rows(df: DataFrame, ddl: str, batch_fn: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
     """``mapInArrow`` with one dict of columns for each batch."""
     schema = arrow_type(ddl)

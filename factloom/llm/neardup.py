@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_type, documents, held, map_rows, with_ids, without_ids
+from factloom.llm.common import arrow_type, documents, held, in_parts, map_rows, with_ids, without_ids
 from factloom.llm.components import components
 from factloom.session import stored
 
@@ -155,6 +155,15 @@ def sketch(batch: pa.RecordBatch, rows: int = ROWS, size: int = SIZE) -> dict[st
     return {"doc_id": kept, "digest": digests, "n": [len(b) for b in bags], "bands": bands}
 
 
+def sketches(batch: pa.RecordBatch) -> dict[str, list]:
+    """``sketch`` of a batch, a few texts at a time."""
+    out: dict[str, list] = {"doc_id": [], "digest": [], "n": [], "bands": []}
+    for part in in_parts(batch):
+        for name, values in sketch(part).items():
+            out[name] += values
+    return out
+
+
 def _units(bag: np.ndarray) -> np.ndarray:
     """The bag as a set: the j-th copy of an item is an item of its own, so that set overlap is multiset overlap."""
     values, n = _counted(bag)
@@ -218,7 +227,7 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         found = _forest(ids, similar_pairs(bags, similarity)) if len(ids) > 1 else []
         return pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=schema)
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in in_parts(whole)):
         for group, tile, doc, text in zip(*(batch.column(c).to_pylist() for c in ("root", "tile", "doc_id", "text"))):
             if (group, tile) != here:
                 if len(ids) > 1:
@@ -243,7 +252,7 @@ def classes(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
     it joins documents. Banding misses a link at 0.8 with a chance under one in ten thousand for one pair; links inside a group are exact.
     """
     docs = documents(df, id_col, text_col)
-    drawn = stored(map_rows(docs, "doc_id bigint, digest binary, n bigint, bands array<bigint>", sketch), "sketches")
+    drawn = stored(map_rows(docs, "doc_id bigint, digest binary, n bigint, bands array<bigint>", sketches), "sketches")
     first = stored(drawn.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     reps = drawn.join(first, (drawn["digest"] == first["digest"]) & (drawn["doc_id"] == first["class_id"])).select("doc_id", "n", "bands").dropDuplicates(["doc_id"])
     banded = reps.select("doc_id", "n", F.explode("bands").alias("band"))
@@ -272,7 +281,7 @@ def classes(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
     same = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: name(s, F.least(o, k), s, F.greatest(o, k)))
     up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda k: name(s, o, s + 1, k))).otherwise(none)
     down = F.when(F.col("under").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("under") - 1), lambda k: name(s - 1, k, s, o))).otherwise(none)
-    tiles = one.union(many.select("node", "root", F.explode(F.concat(same, up, down)).alias("tile")))
+    tiles = stored(one.union(many.select("node", "root", F.explode(F.concat(same, up, down)).alias("tile"))), "tiles")
     needed = with_ids(docs, "doc_id", sized.select("node")).dropDuplicates(["doc_id"])
     gathered = tiles.join(needed, tiles["node"] == needed["doc_id"]).select("root", "tile", "doc_id", "text")
     links = gathered.repartition("root", "tile").sortWithinPartitions("root", "tile", "doc_id").mapInArrow(partial(_verify, similarity=similarity), "a bigint, b bigint")

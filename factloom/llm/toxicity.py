@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_type, bounded_sample, documents, held, map_rows
+from factloom.llm.common import arrow_type, bounded_sample, documents, held, in_parts, map_rows
 from factloom.session import stored
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -462,7 +462,7 @@ def keep_clean(df: DataFrame, fitted: Fitted, threshold: float = 0.7, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = scorer(fitted).score
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole)):
             yield batch.filter(pa.array([one(t or "") < threshold for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
