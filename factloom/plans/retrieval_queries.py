@@ -159,8 +159,8 @@ def q11(t):
     return rt.property_scan(asked, g.ends_joined(t.tg_edges, t.tg_entities))
 
 
-def hop_ctes(hops: int, limit: int, hub: int) -> str:
-    parts = ["f0 AS (SELECT DISTINCT question_id, seed_id AS node FROM tg_seeds)", "v0 AS (SELECT * FROM f0)"]
+def hop_ctes(hops: int, limit: int, hub: int, seeds: str = "SELECT DISTINCT question_id, seed_id AS node FROM tg_seeds") -> str:
+    parts = [f"f0 AS ({seeds})", "v0 AS (SELECT * FROM f0)"]
     for i in range(1, hops + 1):
         parts.append(f"""h{i} AS (SELECT * FROM (SELECT DISTINCT f.question_id, i.head, i.relation, i.tail, i.evidence, i.next_id, d.degree
   FROM f{i-1} f JOIN tg_incidence i ON i.node = f.node JOIN tg_degree d ON d.id = i.next_id)
@@ -192,23 +192,40 @@ def q14(t):
     return rt.expand_baseline(seeds(t), incidence(t), g.degrees(t.tg_edges))
 
 
-@query("q15_route", f"""
+ROUTE = f"""
 WITH s AS ({EXACT}), l AS (SELECT DISTINCT s.question_id FROM s JOIN tg_questions q ON q.question_id = s.question_id
   JOIN tg_incidence i ON i.node = s.id AND i.relation = q.relation_type)
 SELECT question_id, CASE WHEN question_id NOT IN (SELECT question_id FROM s) THEN CASE WHEN relation_type IS NOT NULL AND value IS NOT NULL THEN 'property_scan' ELSE 'no_seed' END
-  WHEN relation_type IS NULL THEN 'bfs' WHEN question_id IN (SELECT question_id FROM l) THEN '1hop' ELSE '1hop_fallback_bfs' END AS route FROM tg_questions""")
+  WHEN relation_type IS NULL THEN 'bfs' WHEN question_id IN (SELECT question_id FROM l) THEN '1hop' ELSE '1hop_fallback_bfs' END AS route FROM tg_questions"""
+
+
+@query("q15_route", ROUTE)
 def q15(t):
     links = lk.link_exact(mentions(t), t.tg_entities).select("question_id", F.col("id").alias("node"))
     looked = rt.relation_lookup(links.join(t.tg_questions.select("question_id", "relation_type"), "question_id"), incidence(t))
     return rt.route(t.tg_questions, links, looked).select("question_id", "route")
 
 
-@query("q15_routed_facts")
+ROUTED_SEEDS = f"SELECT DISTINCT question_id, id AS node FROM ({EXACT}) JOIN ({ROUTE}) USING (question_id) WHERE route IN ('bfs', '1hop_fallback_bfs')"
+
+
+# a question without facts is a row without them
+@query("q15_routed_facts", f"""{hop_ctes(5, 60, 40, ROUTED_SEEDS)},
+routes AS ({ROUTE}),
+looked AS (SELECT * FROM (SELECT DISTINCT s.question_id, i.head, i.relation, i.tail, i.evidence FROM ({EXACT}) s JOIN tg_questions q ON q.question_id = s.question_id
+    JOIN tg_incidence i ON i.node = s.id AND i.relation = q.relation_type)
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY head, relation, tail, evidence) <= 60),
+walked AS (SELECT DISTINCT question_id, head, relation, tail, evidence FROM ({all_hops(5)})),
+scanned AS (SELECT * FROM (SELECT DISTINCT q.question_id, h.name AS head, e.relation_type AS relation, x.name AS tail, e.evidence FROM tg_questions q
+    JOIN tg_entities x ON lower(x.name) = lower(q.value) JOIN tg_edges e ON e.tail_id = x.id AND e.relation_type = q.relation_type
+    JOIN tg_entities h ON h.id = e.head_id AND h.type = q.entity_type)
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY head, relation, tail, evidence) <= 60),
+facts AS (SELECT '1hop' AS route, * FROM looked UNION ALL SELECT 'bfs', * FROM walked UNION ALL SELECT '1hop_fallback_bfs', * FROM walked UNION ALL SELECT 'property_scan', * FROM scanned)
+SELECT question_id, route, head, relation, tail, evidence FROM routes LEFT JOIN facts USING (question_id, route)""")
 def q15_facts(t):
     links = lk.link_exact(mentions(t), t.tg_entities)
     routed, facts = rt.retrieve(t.tg_questions, links, incidence(t), g.degrees(t.tg_edges), g.ends_joined(t.tg_edges, t.tg_entities))
-    counts = facts.groupBy("question_id").agg(F.count("*").alias("n_facts"))
-    return routed.join(counts, "question_id", "left").select("question_id", "route", F.coalesce("n_facts", F.lit(0)).alias("n_facts"))
+    return routed.select("question_id", "route").join(facts.drop("route"), "question_id", "left").select("question_id", "route", "head", "relation", "tail", "evidence")
 
 
 COS = "round(list_cosine_similarity({a}.embedding::DOUBLE[], {b}.embedding::DOUBLE[]), 6)"

@@ -270,3 +270,27 @@ def test_stream_equals_batch_under_replay(spark, tmp_path):
     assert state(read_upserted(spark, target)) == want
     compact(spark, target, str(tmp_path / "packed"))
     assert state(read_upserted(spark, str(tmp_path / "packed"))) == want
+
+
+def test_word_boundary_equals_brute_force(spark):
+    import re
+
+    rng = random.Random(11)
+    words = ["bank", "Bank", "of", "a", "b_1", "X", "kelvin", "Kelvin", "C++", "é"]
+    names = sorted({" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(120)} | {"bankof", "bank.of", "bank-a"})
+    asked = ["bank", "BANK", "of a", "bank of", "b_1", "x", "kelvin", "C++", "é", "a.", "bankof", "nobody", ""]
+    entities = spark.createDataFrame([(f"{i:03d}", n, "ORG", [names[-i - 1]] if i % 3 == 0 else []) for i, n in enumerate(names)], "id string, name string, type string, aliases array<string>")
+    mentions = spark.createDataFrame([(i, m) for i, m in enumerate(asked)], "question_id long, mention string")
+    got = {}
+    for r in lk.link_word_boundary(mentions, entities, 3).collect():
+        got.setdefault(r["mention"], []).append(r["id"])
+    for m in asked:
+        low = m.translate({c: c + 32 for c in range(65, 91)})
+        head, tail = (r"(?<![a-z0-9_])" if re.match(r"[a-z0-9_]", low) else r"(?<=[a-z0-9_])"), (r"(?![a-z0-9_])" if re.search(r"[a-z0-9_]$", low) else r"(?=[a-z0-9_])")
+        pattern = re.compile(head + re.escape(low) + tail)
+
+        def hit(surface):
+            return bool(m) and bool(pattern.search(surface.translate({c: c + 32 for c in range(65, 91)})))
+
+        want = [f"{i:03d}" for i, n in enumerate(names) if hit(n) or (i % 3 == 0 and hit(names[-i - 1]))][:3]
+        assert sorted(got.get(m, [])) == want, m
