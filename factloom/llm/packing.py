@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import arrow_type, documents, map_rows
+from factloom.llm.common import arrow_type, documents, in_parts, map_rows
 from factloom.llm.tokens import encoder
 from factloom.session import stored
 
@@ -33,7 +33,9 @@ def pieces(df: DataFrame, path: str, pieces_of: str | None = "bytes", end: int =
 
     def cut(batch: pa.RecordBatch) -> dict[str, list]:
         rows: dict[str, list] = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(path, pieces_of).encode(batch.column("text").to_pylist())):
+        encode = encoder(path, pieces_of).encode
+        encoded = (pair for part in in_parts(batch) for pair in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())))
+        for doc, ids in encoded:
             ids += last
             n, k, at = len(ids) // 4, 0, 0
             while at < n:
