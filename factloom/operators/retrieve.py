@@ -7,10 +7,11 @@ Facts are (question_id, head, relation, tail, evidence) by name. Limits follow t
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.ordering import top_per_group
-from factloom.functions.vectors import cosine
+from factloom.functions.vectors import cosine, cosine_topk_within
 from factloom.operators.link import MENTION
 from factloom.schemas import (BASELINE_FACTS, BASELINE_HOPS, ENTITY_TYPES, FACTS_PER_HOP, HUB_DEGREE, MAX_HOPS,
                               RELATION_GROUPS, RERANK_TOP_K)
@@ -137,8 +138,15 @@ def retrieve(questions: DataFrame, links: DataFrame, incidence: DataFrame, degre
 def rerank(facts: DataFrame, questions: DataFrame, k: int = RERANK_TOP_K) -> DataFrame:
     """Questions with more than k facts keep the k most similar; the others pass without any vector work.
 
-    ``facts``: (question_id, fact_id, vector); ``questions``: (question_id, vector).
+    ``facts``: (question_id, fact_id, vector); ``questions``: (question_id, vector). Where questions share their facts, ``facts`` are (fact_id, vector, of) and
+    ``questions`` (question_id, vector, of): a question's facts are those of its group with smaller ids, and no pair of both becomes a row before the cut.
     """
+    if "question_id" not in facts.columns:
+        # one more than k, which shows who has more than k
+        near = cosine_topk_within(questions.withColumnRenamed("question_id", "query_id"), facts.withColumnRenamed("fact_id", "vec_id"), k + 1, earlier=True)
+        many = F.max("rank").over(W.partitionBy("query_id")) > k
+        return near.withColumn("_many", many).filter(F.col("rank") <= k).select(
+            F.col("query_id").alias("question_id"), F.col("vec_id").alias("fact_id"), F.when(F.col("_many"), F.col("similarity")).alias("similarity"))
     sizes = facts.groupBy("question_id").agg(F.count("*").alias("_n"))
     many, few = sizes.filter(F.col("_n") > k), sizes.filter(F.col("_n") <= k)
     asked = questions.select("question_id", F.col("vector").alias("_q")).join(many.select("question_id"), "question_id", "left_semi")

@@ -231,17 +231,17 @@ def q15_facts(t):
 COS = "round(list_cosine_similarity({a}.embedding::DOUBLE[], {b}.embedding::DOUBLE[]), 6)"
 
 
-# question = vector, its facts = the earlier vectors of its hundred: up to 99, so some questions are reranked and some are not
+# question = vector, its facts = the earlier vectors of the next label
 @query("q16_rerank", f"""
 WITH f AS (SELECT a.vec_id AS question_id, b.vec_id AS fact_id, count(*) OVER (PARTITION BY a.vec_id) AS n, {COS.format(a='a', b='b')} AS sim
-  FROM embeddings a JOIN embeddings b ON b.vec_id // 100 = a.vec_id // 100 AND b.vec_id < a.vec_id)
+  FROM embeddings a JOIN embeddings b ON b.label = (a.label + 1) % 10 AND b.vec_id < a.vec_id)
 SELECT question_id, fact_id, CASE WHEN n > 20 THEN sim END AS similarity FROM f
 QUALIFY n <= 20 OR row_number() OVER (PARTITION BY question_id ORDER BY sim DESC, fact_id) <= 20""")
 def q16(t):
-    e = t.embeddings.select("vec_id", F.col("embedding").alias("vector"), F.floor(F.col("vec_id") / 100).alias("of"))
-    questions, facts = e.withColumnRenamed("vec_id", "question_id"), e.withColumnRenamed("vec_id", "fact_id")
-    paired = facts.join(questions.select("question_id", "of"), "of").filter("fact_id < question_id").drop("of")
-    return rt.rerank(paired, questions.drop("of"), 20).select("question_id", "fact_id", "similarity")
+    e = t.embeddings
+    questions = e.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"), F.pmod(F.col("label") + 1, F.lit(10)).alias("of"))
+    facts = e.select(F.col("vec_id").alias("fact_id"), F.col("embedding").alias("vector"), F.col("label").alias("of"))
+    return rt.rerank(facts, questions, 20).select("question_id", "fact_id", "similarity")
 
 
 def vectors(t):
