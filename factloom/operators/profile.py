@@ -59,7 +59,9 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def na_ratio(pairs: DataFrame, labs: DataFrame) -> DataFrame:
-    """Share of entity pairs without any relation."""
+    """Share of entity pairs without any relation; pairs of ``candidate_facts`` know theirs, others are joined."""
+    if "facts" in pairs.columns:
+        return pairs.agg(F.count("*").alias("n_pairs"), F.avg(F.when(F.size("facts") == 0, 1.0).otherwise(0.0)).alias("na_share"))
     labelled = labs.select(*PAIR).distinct().withColumn("labelled", F.lit(1))
     return pairs.join(labelled, PAIR, "left").agg(
         F.count("*").alias("n_pairs"), F.avg(F.when(F.col("labelled").isNull(), 1.0).otherwise(0.0)).alias("na_share"))
