@@ -123,9 +123,10 @@ def score_by_frequency(preds: DataFrame, gold: DataFrame, counts: DataFrame, sha
     """
     total = counts.agg(F.sum("n").alias("total"))
     frequent = counts.filter(F.col("n") >= share * total.scalar()).select("r").withColumn("frequent", F.lit(True))
-    rows = judged(preds, gold).join(frequent, "r", "left").withColumn(
-        "band", F.when(F.col("frequent"), "frequent").otherwise("long_tail"))
-    return prf(_counts(rows, "band"), "n_correct", "n_pred", "n_gold")
+    per_relation = _counts(judged(preds, gold), "r").join(frequent, "r", "left")  # a row for each relation: no triple meets a relation's key
+    band = F.when(F.col("frequent"), "frequent").otherwise("long_tail").alias("band")
+    counts = per_relation.groupBy(band).agg(*[F.sum(n).alias(n) for n in ("n_pred", "n_gold", "n_correct")])
+    return prf(counts, "n_correct", "n_pred", "n_gold")
 
 
 def distant_audit(pairs: DataFrame, ments: DataFrame, facts: DataFrame, gold: DataFrame) -> DataFrame:
