@@ -2,7 +2,7 @@
 
 Base rules find exact formats. Beside them, generators of high recall propose further spans, which may overlap; boosted trees weigh their format and
 context, and a threshold for each kind, calibrated on held-back candidates, selects those that are added. The trees are fitted by
-Spark's own boosting on a bounded sample and then written out as one SQL expression, so no row leaves its task for them.
+Spark's own boosting on the proposals of all texts and then written out as one SQL expression, so no row leaves its task for them.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded_sample, documents
+from factloom.llm.common import documents
 from factloom.session import stored
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -165,9 +165,18 @@ class Model:
         self.trees, self.thresholds = trees, thresholds
 
 
-def fit(df: DataFrame, rows: int = 20_000, precision: float = 0.95, rounds: int = 6, depth: int = 3,
-        id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Boosted trees for each kind of proposal, from at most about ``rows`` documents (smallest hashes of the id), the bound of the fit.
+def examples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k, label, held, the features and n: how many proposals of all texts have these values. Only proposals are shuffled, as numbers."""
+    # the outer form with a filter after it: for the inner one Spark infers a filter on the array, which computes every pattern again many times over
+    spans = _proposals(_base(documents(df, id_col, text_col))).select("doc_id", "_base", F.explode_outer("_cand").alias("c")).filter("c IS NOT NULL")
+    overlap = F.exists("_base", lambda b: (b["k"] == F.col("c")["k"]) & (b["s"] < F.col("c")["e"]) & (F.col("c")["s"] < b["e"]))
+    one = spans.select(F.col("c")["k"].alias("k"), overlap.cast("double").alias("label"), (F.pmod(F.xxhash64("doc_id", F.col("c")["s"]), F.lit(4)) == 0).alias("held"),
+                       *[F.col("c")["f"][i].alias(n) for i, n in enumerate(NAMES)])
+    return one.groupBy(*one.columns).agg(F.count("*").alias("n"))
+
+
+def fit(df: DataFrame, precision: float = 0.95, rounds: int = 6, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Boosted trees for each kind of proposal, from the proposals of all texts; equal ones are one row with a weight.
 
     There are no hand-made labels: a proposal that a base rule of its kind confirms is an example, one that only looks like it a counterexample. The trees learn
     from three quarters of the proposals; on the last quarter the threshold of a kind is the lowest at which all higher scores together
@@ -176,20 +185,18 @@ def fit(df: DataFrame, rows: int = 20_000, precision: float = 0.95, rounds: int
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    sample = bounded_sample(documents(df, id_col, text_col), "doc_id", rows)
-    spans = _proposals(_base(sample)).select("doc_id", "_base", F.explode("_cand").alias("c"))
-    overlap = F.exists("_base", lambda b: (b["k"] == F.col("c")["k"]) & (b["s"] < F.col("c")["e"]) & (F.col("c")["s"] < b["e"]))
-    rows_ = stored(spans.select(F.col("c")["k"].alias("k"), overlap.cast("double").alias("label"), *[F.col("c")["f"][i].alias(n) for i, n in enumerate(NAMES)],
-                                (F.pmod(F.xxhash64("doc_id", F.col("c")["s"]), F.lit(4)) == 0).alias("held")), "proposals")
-    ready = VectorAssembler(inputCols=NAMES, outputCol="features").transform(rows_.coalesce(4)).cache()
+    rows_ = stored(examples(df, id_col, text_col), "proposals")
+    ready = VectorAssembler(inputCols=NAMES, outputCol="features").transform(rows_).cache()
     classes = {(r["k"], r["label"]) for r in ready.filter("not held").select("k", "label").distinct().collect()}
     trees, thresholds = {}, {}
     for k in sorted({k for k, _ in classes}):
         if {(k, 0.0), (k, 1.0)} <= classes:
-            fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.5, seed=7, cacheNodeIds=False).fit(ready.filter(f"k = {k} and not held").coalesce(1))
+            # each value of a feature may part the rows: there are far fewer than 1,024 of them
+            boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=1024, stepSize=0.5, seed=7, cacheNodeIds=False, weightCol="n")
+            fitted = boosted.fit(ready.filter(f"k = {k} and not held"))
             trees[k] = [f"{w!r}D * ({_tree_sql(t._java_obj.rootNode(), 'f')})" for t, w in zip(fitted.trees, fitted.treeWeights)]
             scored = rows_.filter(f"k = {k} and held").withColumn("f", F.array(*NAMES)).withColumn("bin", F.floor(F.expr(_score_sql(trees[k])) * 50))
-            bins = sorted(((r["bin"], r["n"], r["good"]) for r in scored.groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()), reverse=True)
+            bins = sorted(((r["bin"], r["n"], r["good"]) for r in scored.groupBy("bin").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect()), reverse=True)
             n = good = 0
             for at, some, right in bins:
                 n, good = n + some, good + right

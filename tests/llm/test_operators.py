@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from factloom.llm import ann, dac, html, langid, mixing, neardup, packing, pii, tokens, topk, toxicity, vectors
 from factloom.llm.common import bounded_sample
 from factloom.llm.components import components
-from factloom.session import shared_folder
+from factloom.session import shared_folder, stored
 
 LONG = "very long words, " * 4000
 ODD = ["", "  a  b", "it's don't  I'm.", "x<|endoftext|>y", "á élan", "İstanbul ΑΣ ὈΔΥΣΣΕΎΣ", "日本語 テスト", "a\x1cb", "\n\n  x\t y 　z",
@@ -434,3 +434,11 @@ def test_mixing_keeps_true_weights_over_many_frames(spark):
         done[slots[t]] += 1
         worst = max([worst, *(abs(done[s] - w * (t + 1)) for s, w in weights.items())])
     assert worst < 2.5
+
+
+def test_personal_data_is_learnt_from_every_text(spark):
+    rng = random.Random(3)
+    one = f"pay 4{rng.randrange(10 ** 14):014d}1 now"
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(one).alias("text"))
+    got = pii.examples(df).groupBy("k").agg(F.sum("n").alias("n")).collect()
+    assert got and {r["n"] for r in got} == {30_000}  # a sample of 20,000 documents before
