@@ -36,8 +36,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens in sequences of 2,048."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The documents' tokens in sequences of 2,048, which follow the order of files and rows: neighbours share sequences, and sequence ids rise with it.
+
+    ``docs`` must be read from files, as the stage before wrote them. A worker keeps few words, as the executor still holds the memory of the stages before.
+    """
+    placed = docs.withColumn("place", mixing.file_order())
+    return packing.pack_documents(placed, public_tokenizers.path("byte_bpe_50k.json"), place_col="place", keep=50_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("personal_data", redact_personal_data),

@@ -97,6 +97,12 @@ def schedule(df: DataFrame, weights: dict[str, float] | None = None, block_docs:
     return placed.select("doc_id", name.alias("source"), "block", "slot", (F.col("slot") * block_docs + F.col("n") % block_docs).alias("place"))
 
 
+def file_order() -> Column:
+    """A row's place in the files that ``mix`` was written to, as one rising number: Spark numbers a table's files by partition, but deals them to tasks by size."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint")
+    return F.shiftleft(part, 40) + F.col("_metadata.row_index")
+
+
 def mix(df: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, frame: int | None = None,
         id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` in mixed order: ranges of places, each sorted, so files written from it read in that order. All columns and rows stay."""

@@ -90,6 +90,6 @@ class Encoder:
         return [self._text(text or "") for text in texts]
 
 
-def encoder(path: str, pieces: str | None) -> Encoder:
+def encoder(path: str, pieces: str | None, keep: int = 450_000) -> Encoder:
     """One encoder per worker process."""
-    return held(("tokens", path, pieces), lambda: Encoder(path, pieces))
+    return held(("tokens", path, pieces, keep), lambda: Encoder(path, pieces, keep))

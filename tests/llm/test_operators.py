@@ -442,3 +442,25 @@ def test_personal_data_is_learnt_from_every_text(spark):
     df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(one).alias("text"))
     got = pii.examples(df).groupBy("k").agg(F.sum("n").alias("n")).collect()
     assert got and {r["n"] for r in got} == {30_000}  # a sample of 20,000 documents before
+
+
+def test_packing_follows_the_order_of_files(spark, tmp_path):
+    """Mixed documents, written and read: neighbours share sequences, and sequence ids rise with the mix, whatever order tasks read files in."""
+    rows = [(i, "w " * (3 + i % 9), "ab"[i < 900]) for i in range(1200)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), {"a": 0.5, "b": 0.5}, block_docs=1)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    docs = spark.read.parquet(str(tmp_path / "mixed")).withColumn("place", mixing.file_order())
+    order = [r["doc_id"] for r in docs.orderBy("place").collect()]
+    assert sorted(order) == list(range(1200)) and all(rows[a][2] != rows[b][2] for a, b in zip(order[:500], order[1:500]))
+    parts = stored(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=64, place_col="place", keep=50))
+    got = packing.pack(parts, capacity=64, island_rows=100).collect()
+    assert len(got) == 1200 and len({(r["sequence_id"], r["offset"]) for r in got}) == 1200
+    place, filled = {doc: k for k, doc in enumerate(order)}, {}
+    for r in got:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], place[r["doc_id"]]))
+    for sequence, parts in filled.items():
+        parts.sort()
+        assert [x[0] for x in parts] == [sum(y[1] for y in parts[:k]) for k in range(len(parts))] and sum(x[1] for x in parts) <= 64
+        assert [x[2] for x in parts] == sorted(x[2] for x in parts) and parts[0][2] == sequence
+    assert sum(x[-1][2] - x[0][2] for x in filled.values()) < 300 * len(filled)  # dealt by hash they reach over some 900
+    assert len(filled) <= 1.05 * sum(r["length"] for r in got) / 64 + 1
