@@ -25,6 +25,16 @@ def _asked(mentions: DataFrame) -> DataFrame:
     return mentions.select("mention").distinct()
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all shuffle partitions: a few bytes of text are much work once their parts are exploded, and AQE would leave them to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _sharing(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows of both sides with equal ``key``, never by broadcast: Spark takes an exploded side to be as small as the texts that it was made of, and would send it whole through the driver."""
+    return keys.hint("merge").join(index, "key")
+
+
 def _per_question(mentions: DataFrame, matches: DataFrame) -> DataFrame:
     return mentions.select(*MENTION).join(matches, "mention").select(*HIT)
 
@@ -64,7 +74,7 @@ def _runs(text: Column) -> Column:
 def _rarest(keys: DataFrame, index: DataFrame) -> DataFrame:
     """Per mention, the key that the fewest index rows carry: hot keys are joined only by mentions with no rarer one."""
     counts = index.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-    return (keys.join(counts, "key", "left").groupBy("mention")
+    return (keys.hint("merge").join(counts, "key", "left").groupBy("mention")
             .agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key")))
 
 
@@ -95,7 +105,7 @@ def link_word_boundary(mentions: DataFrame, entities: DataFrame, k: int = SEEDS_
     words = F.filter(F.split(low, "[^a-z0-9_]+"), lambda r: r != "")
     keys = asked.filter(~plain).select("mention", F.explode(F.array_distinct(
         F.when(F.size(words) > 0, words).otherwise(F.array(low)))).alias("key"))
-    found = (_rarest(keys, index).join(index, "key")
+    found = (_sharing(_rarest(keys, index), index)
              .filter(F.rlike("surface", boundary_pattern(F.col("mention")))))
     return _per_question(mentions, of_one.unionByName(_limited(found, k)))
 
@@ -119,7 +129,7 @@ def link_substring(mentions: DataFrame, entities: DataFrame, k: int = SEEDS_PER_
         mine = asked.filter(F.char_length("low") >= 3 if n == 3 else F.char_length("low") == n)
         index = surfaces.select("*", F.explode(_grams(F.col("low_surface"), n)).alias("key"))
         keys = mine.select("mention", F.explode(_grams(F.col("low"), n)).alias("key"))
-        part = (_rarest(keys, index).join(index, "key")
+        part = (_sharing(_rarest(keys, index), index)
                 .filter(F.contains("low_surface", F.lower("mention"))).select("mention", "id", "name", "type"))
         found = part if found is None else found.unionByName(part)
     return _per_question(mentions, _limited(found, k))
@@ -141,19 +151,19 @@ def _prefix_pairs(mentions: DataFrame, names: DataFrame, cutoff: float) -> DataF
     share = cutoff / 200.0
     floor_len = share / (1 - share)  # shortest admissible lb / la
     asked = mentions.select("mention", F.char_length("mention").alias("la")).distinct()
-    keys = asked.select("mention", "la", F.explode(_numbered_grams(F.col("mention"))).alias("key"))
+    keys = _spread(asked).select("mention", "la", F.explode(_numbered_grams(F.col("mention"))).alias("key"))
     pool = names.select("name").distinct().withColumn("lb", F.char_length("name"))
-    index = pool.select("name", "lb", F.explode(_numbered_grams(F.col("name"))).alias("key"))
+    index = _spread(pool).select("name", "lb", F.explode(_numbered_grams(F.col("name"))).alias("key"))
     counts = index.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
     # the bound is smallest at the shortest admissible name: (3s-1)(la+lb)+1 common bigrams
     spare = F.floor((3 * share - 1) * (1 + floor_len) * F.col("la") + 1e-9)
     rank = F.row_number().over(W.partitionBy("mention").orderBy(F.coalesce("n", F.lit(0)), "key"))
-    prefix = (keys.join(counts, "key", "left").withColumn("rank", rank)
+    prefix = (keys.hint("merge").join(counts, "key", "left").withColumn("rank", rank)
               .withColumn("spare", spare).filter(F.col("rank") <= F.col("la") + 1 - F.col("spare")))
     lcs = F.ceil(share * (F.col("la") + F.col("lb")) - 1e-9)
     need = 3 * lcs - F.col("la") - F.col("lb") + 1 - F.col("spare")
     fits = (lcs <= F.col("la")) & (lcs <= F.col("lb"))
-    shared = (prefix.join(index, "key").filter(fits).groupBy("mention", "name", "la", "lb", "spare")
+    shared = (_sharing(prefix, index).filter(fits).groupBy("mention", "name", "la", "lb", "spare")
               .agg(F.count("*").alias("shared")).filter(F.col("shared") >= need))
     return shared.select("mention", "name")
 
@@ -202,9 +212,9 @@ def struck_pairs(mentions: DataFrame, names: DataFrame, letters: int) -> DataFra
     """
     asked = mentions.select("mention").distinct().filter(F.char_length("mention") <= STRUCK_LENGTH)
     pool = names.select("name").distinct().filter(F.char_length("name") <= STRUCK_LENGTH + letters)
-    keys = asked.select("mention", F.explode(_struck(F.col("mention"), letters)).alias("key"))
-    index = pool.select("name", F.explode(_struck(F.col("name"), letters)).alias("key"))
-    pairs = keys.join(index, "key").select("mention", "name").distinct()
+    keys = _spread(asked).select("mention", F.explode(_struck(F.col("mention"), letters)).alias("key"))
+    index = _spread(pool).select("name", F.explode(_struck(F.col("name"), letters)).alias("key"))
+    pairs = _sharing(keys, index).select("mention", "name").distinct()
     return pairs.select("mention", "name", indel_ratio(F.col("mention"), F.col("name")).alias("ratio"))
 
 

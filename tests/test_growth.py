@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from factloom.functions import vectors
+from factloom.operators import link
 
 
 def test_a_query_travels_once_to_each_group_of_blocks(spark):
@@ -19,3 +20,12 @@ def test_a_query_travels_once_to_each_group_of_blocks(spark):
     again = {(r["query_id"], b) for r in rows for b in r["wanted"]}
     before = {(r["query_id"], r["block"]) for r in first.collect()}
     assert not again & before and len(again | before) == n_queries * n_blocks
+
+
+def test_exploded_texts_are_never_broadcast(spark):
+    mentions = spark.createDataFrame([("Cutsomer 1",), ("Ada",)], "mention string")
+    names = spark.createDataFrame([("Customer 1",), ("Ada",)], "name string")
+    for pairs in (link.struck_pairs(mentions, names, 2), link.fuzzy_pairs(mentions, names, 80.0)):
+        assert {(r["mention"], r["name"]) for r in pairs.filter("ratio >= 80").collect()} == {("Cutsomer 1", "Customer 1"), ("Ada", "Ada")}
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan  # 172 parts of a text of 18 letters went through the driver
