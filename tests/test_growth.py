@@ -1,10 +1,14 @@
 """What a task, a worker or the driver holds stays bounded where the input grows."""
 
+import factloom.plans.all_queries  # noqa: F401  (registers the queries)
 import numpy as np
 from pyspark.sql import functions as F
 
 from factloom.functions import vectors
+from factloom.operators import evaluate as ev
 from factloom.operators import link
+from factloom.plans.adapters import Tables
+from factloom.plans.registry import QUERIES
 
 
 def test_a_query_travels_once_to_each_group_of_blocks(spark):
@@ -29,3 +33,10 @@ def test_exploded_texts_are_never_broadcast(spark):
         assert {(r["mention"], r["name"]) for r in pairs.filter("ratio >= 80").collect()} == {("Cutsomer 1", "Customer 1"), ("Ada", "Ada")}
         plan = pairs._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan  # 172 parts of a text of 18 letters went through the driver
+
+
+def test_rows_unfolded_from_documents_are_not_broadcast(spark):
+    for name in ("m5_denoise", "m9_best_threshold"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [doc" in plan and "BroadcastHashJoin [doc" not in plan  # Spark took labels to be as small as the documents' files
+    assert Tables(spark, "/root/testdata/sf0.001").BUCKET_LINES <= 32768  # a task sorts the pairs of these lines
