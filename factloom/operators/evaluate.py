@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.operators.docmodel import PAIR, with_pair_sents
+from factloom.session import stored
 
 TRIPLE = [*PAIR, "r"]
 
@@ -130,8 +131,13 @@ def score_by_frequency(preds: DataFrame, gold: DataFrame, counts: DataFrame, sha
 
 
 def distant_audit(pairs: DataFrame, ments: DataFrame, facts: DataFrame, gold: DataFrame) -> DataFrame:
-    """What labelling by name facts would find: (outcome, n) with caught, missed and false_positive."""
-    named = _with_names(pairs.select(*PAIR), ments)
+    """What labelling by name facts would find: (outcome, n) with caught, missed and false_positive.
+
+    Names that are no fact's head (tail) go before they meet the pairs, so that of the pairs only those travel by their names that have two known ends.
+    """
+    facts = stored(facts.select("head_name", "tail_name", "r"), "facts")
+    end = lambda column, name: _names(ments).withColumnsRenamed({"entity": column, "name": name}).join(facts.select(name).distinct(), name, "left_semi")
+    named = pairs.select(*PAIR).join(end("h", "head_name"), ["doc", "h"]).join(end("t", "tail_name"), ["doc", "t"])
     labelled = named.join(facts, ["head_name", "tail_name"]).select(*TRIPLE)
     rows = judged(labelled, gold)
     outcome = F.when(F.col("pred") & F.col("gold"), "caught").when(F.col("gold"), "missed").otherwise("false_positive")

@@ -368,7 +368,7 @@ WITH lab AS (SELECT DISTINCT p.doc, p.h, p.t, f.r FROM (SELECT * FROM pl_pairs W
 SELECT CASE WHEN l.r IS NOT NULL AND g.r IS NOT NULL THEN 'caught' WHEN g.r IS NOT NULL THEN 'missed' ELSE 'false_positive' END AS outcome, count(*) AS n
 FROM lab l FULL JOIN (SELECT * FROM gold WHERE {DEV}) g ON g.doc = l.doc AND g.h = l.h AND g.t = l.t AND g.r = l.r GROUP BY outcome""")
 def v8(t):
-    return ev.distant_audit(dev_rows(t, t.pl_pairs), t.oc_mentions, facts(t, "train_annotated"), dev_rows(t, t.oc_labels))
+    return ev.distant_audit(dev_rows(t, t.pl_pairs), dev_rows(t, t.oc_mentions), facts(t, "train_annotated"), dev_rows(t, t.oc_labels))
 
 
 @query("v9_leakage", f"""

@@ -40,3 +40,14 @@ def test_rows_unfolded_from_documents_are_not_broadcast(spark):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [doc" in plan and "BroadcastHashJoin [doc" not in plan  # Spark took labels to be as small as the documents' files
     assert Tables(spark, "/root/testdata/sf0.001").BUCKET_LINES <= 32768  # a task sorts the pairs of these lines
+
+
+def test_pairs_meet_facts_only_where_both_names_are_known(spark):
+    pairs = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 0, 2), (1, 2, 0)], "doc int, h int, t int")
+    ments = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (1, 1, "c"), (1, 2, None), (9, 0, "a")], "doc int, entity int, name string")
+    facts = spark.createDataFrame([("b", "c", "r"), ("x", "a", "r"), (None, None, "r")], "head_name string, tail_name string, r string")
+    gold = spark.createDataFrame([(1, 0, 1, "r"), (1, 1, 0, "r")], "doc int, h int, t int, r string")
+    got = ev.distant_audit(pairs, ments, facts, gold)
+    assert {(r["outcome"], r["n"]) for r in got.collect()} == {("caught", 1), ("missed", 1)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2
