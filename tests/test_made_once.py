@@ -37,3 +37,18 @@ def test_documents_are_numbered_by_one_sort(spark, tmp_path):
         assert rows_of(got.columns, got.filter("doc IS NOT NULL").collect()) == rows_of([c[0] for c in want.description], want.fetchall())
     assert tables.oc_mentions.filter("doc IS NULL").count() == 3
     assert "Window" not in plan_of(tables._oc_docs())  # there were eleven, each with its own copy of the lines
+
+
+def test_marked_words_are_made_once(spark):
+    df = QUERIES["d10_marked_spans"](spark, GIVEN)
+    assert plan_of(df).count("oc_docs") <= 3  # of sentences, marks and mentions; a word's place had been joined and read again at each step
+
+
+def test_marks_outside_a_sentence_take_no_place(spark):
+    sents = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 1, []), (1, 2, ["c"]), (None, 0, ["x"])], "doc int, sent_id int, tokens array<string>")
+    ments = spark.createDataFrame([(1, 0, 0, 0, 0, 2), (1, 0, 1, 0, 0, 1), (1, 1, 0, 0, 1, 9), (1, 2, 0, 2, 0, 1), (1, 3, 0, 5, 0, 1)],
+                                  "doc int, entity int, mention int, sent_id int, start_w int, end_w int")
+    marked = dm.marked_tokens(sents, ments)
+    assert [tuple(r) for r in marked.orderBy("sent_id", "w").select("sent_id", "piece", "width", "position").collect()] == [
+        (0, "* a *", 3, 0), (0, "* b *", 3, 3), (2, "* c *", 3, 6)]
+    assert {tuple(r) for r in dm.marked_spans(marked, ments).collect()} == {(1, 0, 0, 0, 6), (1, 0, 1, 0, 3), (1, 2, 0, 6, 9)}
