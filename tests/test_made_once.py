@@ -52,3 +52,9 @@ def test_marks_outside_a_sentence_take_no_place(spark):
     assert [tuple(r) for r in marked.orderBy("sent_id", "w").select("sent_id", "piece", "width", "position").collect()] == [
         (0, "* a *", 3, 0), (0, "* b *", 3, 3), (2, "* c *", 3, 6)]
     assert {tuple(r) for r in dm.marked_spans(marked, ments).collect()} == {(1, 0, 0, 0, 6), (1, 0, 1, 0, 3), (1, 2, 0, 6, 9)}
+
+
+def test_labels_are_read_once_for_their_evidence(spark, docs):
+    labs = dm.labels(docs).select("*", F.lit("read").alias("marker"))
+    plan = plan_of(evi.resolve_evidence(labs, dm.mentions(docs)))
+    assert plan.count("read AS marker") == 1  # a second time for the pairs that stay open
