@@ -54,6 +54,12 @@ def test_marks_outside_a_sentence_take_no_place(spark):
     assert {tuple(r) for r in dm.marked_spans(marked, ments).collect()} == {(1, 0, 0, 0, 6), (1, 0, 1, 0, 3), (1, 2, 0, 6, 9)}
 
 
+def test_only_pairs_with_a_decoded_class_are_unfolded(spark):
+    for name in ("m2_decode_sigmoid", "m3_confidence"):
+        plan = plan_of(QUERIES[name](spark, GIVEN))
+        assert "array_max(" in plan[plan.index("Generate posexplode"):]  # every pair was, with all its classes
+
+
 def test_labels_are_read_once_for_their_evidence(spark, docs):
     labs = dm.labels(docs).select("*", F.lit("read").alias("marker"))
     plan = plan_of(evi.resolve_evidence(labs, dm.mentions(docs)))
