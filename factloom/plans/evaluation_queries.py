@@ -138,16 +138,15 @@ def sub_logits(t):
     """The second run's logits under the sub-documents' own entity ids, and the id map."""
     keep = t.oc_items.filter("l_quantity > 15").select("doc", "sent_id")
     ids = dm.sub_document(keep, t.oc_mentions)[1].withColumn("new_entity", F.col("new_entity").cast("int"))
-    sub = (logits(t, "logit_b").join(ids.select("doc", F.col("entity").alias("h"), F.col("new_entity").alias("nh")), ["doc", "h"])
-           .join(ids.select("doc", F.col("entity").alias("t"), F.col("new_entity").alias("nt")), ["doc", "t"])
-           .select("doc", F.col("nh").alias("h"), F.col("nt").alias("t"), "class_id", "logit"))
+    sub = dm.renumbered(t.pl_logit_rows("logit_b"), ids, "entity", "new_entity")
     return sub, ids
 
 
 @query("m8_fuse_logits", f"SELECT doc, h, t, class_id, round(CASE WHEN sub IS NULL THEN logit_a ELSE logit_a + sub - 0.5 END, 9) AS logit FROM ({FUSED})")
 def m8(t):
     sub, ids = sub_logits(t)
-    return rounded(pp.fuse_logits(logits(t), sub, 0.5, ids), "logit")
+    fused = pp.fuse_logits(t.pl_logit_rows("logit_a"), sub, 0.5, ids)
+    return rounded(fused.select(*PAIR, F.posexplode("logits").alias("class_id", "logit")), "logit")
 
 
 def prf_sql(correct, pred, gold):
@@ -167,7 +166,7 @@ SELECT grid.value, coalesce(n_pred, 0) AS n_pred, coalesce(n_correct, 0) AS n_co
 def m9(t):
     """gamma shifts the class and its threshold alike inside one pair, so the margin decides once; the sweep shows it."""
     sub, ids = sub_logits(t)
-    fused = pp.fuse_logits(logits(t), sub, 0.0, ids)
+    fused = pp.fuse_logits(t.pl_logit_rows("logit_a"), sub, 0.0, ids)
     margin = pp.with_threshold(fused).filter("class_id > 0").join(t.rel_ids.withColumnRenamed("code", "r"), "class_id")
     scored = margin.select(*PAIR, "r", (F.col("logit") > F.col("th")).alias("beats"))
     return rounded(pp.sweep(scored, t.oc_labels, GAMMA_GRID, lambda gamma: F.col("beats")).drop("pos"), "precision", "recall", "f1")

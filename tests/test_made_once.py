@@ -60,6 +60,15 @@ def test_only_pairs_with_a_decoded_class_are_unfolded(spark):
         assert "array_max(" in plan[plan.index("Generate posexplode"):]  # every pair was, with all its classes
 
 
+def test_fusing_arrays_equals_class_rows(spark):
+    schema = "doc bigint, h int, t int, logits array<double>"
+    full = spark.createDataFrame([(1, 0, 1, [1.0, 2.0]), (1, 1, 0, [3.0, None]), (1, 0, 4, [0.0, 1.0]), (2, 0, 1, [5.0, 6.0])], schema)
+    sub = spark.createDataFrame([(1, 0, 1, [0.25, None]), (1, 1, 0, [2.0, 1.0]), (1, 0, 9, [7.0, 7.0]), (3, 0, 1, [1.0, 1.0])], schema)
+    ids = spark.createDataFrame([(1, 0, 1), (1, 4, 0), (2, 0, 0)], "doc bigint, entity int, new_entity int")
+    unfolded = lambda df: df.select("doc", "h", "t", F.posexplode("logits").alias("class_id", "logit"))
+    assert rows(unfolded(pp.fuse_logits(full, sub, 0.5, ids))) == rows(pp.fuse_logits(unfolded(full), unfolded(sub), 0.5, ids))
+
+
 def test_labels_are_read_once_for_their_evidence(spark, docs):
     labs = dm.labels(docs).select("*", F.lit("read").alias("marker"))
     plan = plan_of(evi.resolve_evidence(labs, dm.mentions(docs)))
