@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 RANGE_BYTES = 32 << 20
 BLOCK = 1 << 20  # bytes read and scanned at once
+TASKS_PER_CORE = 4
 _DEEPER = np.zeros(256, np.int8)
 _DEEPER[[ord("["), ord("{")]] = 1
 _DEEPER[[ord("]"), ord("}")]] = -1
@@ -173,19 +174,24 @@ def _ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
     return rows.select("path", "start", F.least(F.col("start") + F.col("step"), F.col("size")).alias("end"), "size", "packed")
 
 
-def _dealt(ranges: DataFrame, count: int) -> DataFrame:
-    """One range a task."""
-    return ranges.repartition(max(1, count), "path", "start")
+def _tasks(ranges: DataFrame) -> int:
+    """As many tasks as there are ranges, up to what keeps all cores busy, and more where a task would get more than ``RANGE_BYTES``."""
+    count, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+    return max(1, min(count, max(-(-size // RANGE_BYTES), TASKS_PER_CORE * ranges.sparkSession.sparkContext.defaultParallelism)))
+
+
+def _dealt(ranges: DataFrame, tasks: int) -> DataFrame:
+    return ranges.repartition(tasks, "path", "start")
 
 
 def read_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """path, at, value: every element of the arrays in the files of ``path`` (a file, folder or pattern), with its file and place of its text there.
 
-    Plain files are read in ranges of ``range_bytes``, ``.gz`` files whole, each range by a task of its own; an element may be longer than a range. An empty array has no
+    Plain files are read in ranges of ``range_bytes``, ``.gz`` files whole, several small ranges by one task; an element may be longer than a range. An empty array has no
     element, nor has a file of no bytes. A file that holds no array, or ends within one, is an error. The place is a byte of the (unpacked) file, so places give the array's order.
     """
     ranges = _ranges(spark, path, range_bytes)
-    count = ranges.count()
+    tasks = _tasks(ranges)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +210,7 @@ def read_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
 
     # a row for each range, as many as a scan of the same files would have splits
     before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    summed = _dealt(ranges, count).mapInArrow(sum_up, _RANGE + ", turns bigint, outside bigint, within bigint")
+    summed = _dealt(ranges, tasks).mapInArrow(sum_up, _RANGE + ", turns bigint, outside bigint, within bigint")
     states = summed.withColumn("inside", F.coalesce(F.sum("turns").over(before), F.lit(0)) % 2)
     states = states.withColumn("deeper", F.when(F.col("inside") == 0, F.col("outside")).otherwise(F.col("within")))
     states = states.withColumn("depth", F.coalesce(F.sum("deeper").over(before), F.lit(0)))
@@ -230,7 +236,7 @@ def read_elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
                     if places:
                         yield _batch(row["path"], places, texts)
 
-    return _dealt(states.select("path", "start", "end", "size", "packed", "inside", "depth"), count).mapInArrow(cut, "path string, at bigint, value string")
+    return _dealt(states.select("path", "start", "end", "size", "packed", "inside", "depth"), tasks).mapInArrow(cut, "path string, at bigint, value string")
 
 
 def _batch(path: str, places: list[int], texts: list[str]) -> pa.RecordBatch:

@@ -91,3 +91,12 @@ def test_element_that_does_not_parse_is_an_error(spark, tmp_path):
     (tmp_path / "bad.json").write_text('[{"title": "a"}, {"title" "b"}]')
     with pytest.raises(Exception, match="MALFORMED"):
         ja.read_array(spark, str(tmp_path / "bad.json"), DOC).collect()
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    path = tmp_path / "many.json"
+    path.write_text("[" + ",".join(f'{{"id": {i}}}' for i in range(4000)) + "]")
+    read = ja.read_elements(spark, str(path), 64)
+    assert ja._ranges(spark, str(path), 64).count() > 500
+    assert read.rdd.getNumPartitions() <= ja.TASKS_PER_CORE * spark.sparkContext.defaultParallelism  # was a task for each range
+    assert [r[0] for r in read.orderBy("at").selectExpr("cast(get_json_object(value, '$.id') AS int)").collect()] == list(range(4000))
