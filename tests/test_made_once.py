@@ -1,6 +1,7 @@
 """What a document's row holds is made once and looked up there: the same rows as the SQL and as class rows, in plans without the joins and second readings of before."""
 
 import duckdb
+import factloom.plans.all_queries  # noqa: F401  (registers the queries)
 from oracle_check import rows_of
 from pyspark.sql import functions as F
 from test_pairs_in_place import rows
@@ -73,3 +74,13 @@ def test_labels_are_read_once_for_their_evidence(spark, docs):
     labs = dm.labels(docs).select("*", F.lit("read").alias("marker"))
     plan = plan_of(evi.resolve_evidence(labs, dm.mentions(docs)))
     assert plan.count("read AS marker") == 1  # a second time for the pairs that stay open
+
+
+def test_pair_sums_look_up_their_own_value(spark):
+    ments = spark.createDataFrame([(1, e, 0) for e in range(4)] + [(2, 0, 0)], "doc int, entity int, sent_id int")
+    valued = spark.createDataFrame([(1, 0, 1, 5), (1, 0, 1, 2), (1, 1, 0, 3), (1, 2, 1, None), (1, 0, 9, 7), (1, 3, 3, 8)], "doc int, h int, t int, v int")
+    pairs = dm.candidate_pairs(ments).join(valued.groupBy("doc", "h", "t").agg(F.sum("v").alias("v")), ["doc", "h", "t"], "left")
+    got, want = dm.candidate_neighbour_sums(ments, valued, ["v"]), dm.pair_neighbour_sums(pairs, ["v"])
+    assert rows(got) == rows(want.select(got.columns)) and got.count() == 12
+    filters = [line for line in plan_of(got).split("\n") if "Filter" in line]
+    assert not any("lambdafunction" in line for line in filters)  # all ends' sums were made a second time, facts filtered anew for each, to see whether there are any
