@@ -84,3 +84,13 @@ def test_pair_sums_look_up_their_own_value(spark):
     assert rows(got) == rows(want.select(got.columns)) and got.count() == 12
     filters = [line for line in plan_of(got).split("\n") if "Filter" in line]
     assert not any("lambdafunction" in line for line in filters)  # all ends' sums were made a second time, facts filtered anew for each, to see whether there are any
+
+
+def test_facts_are_sought_only_for_pairs_that_have_some(spark):
+    ments = spark.createDataFrame([(1, e, 0) for e in range(3)], "doc int, entity int, sent_id int")
+    facts = spark.createDataFrame([(1, 0, 1, "a"), (1, 0, 1, "b"), (1, 2, 0, "c"), (1, 2, 7, "d")], "doc int, h int, t int, r string")
+    got = dm.candidate_facts(ments, facts)
+    assert {(r.h, r.t): sorted(f.r for f in r.facts) for r in got.collect()} == {(0, 1): ["a", "b"], (0, 2): [], (1, 0): [], (1, 2): [], (2, 0): ["c"], (2, 1): []}
+    assert "CASE WHEN array_contains(_known" in plan_of(got)
+    hot = spark.createDataFrame([([0, 2],), (None,)], "ids array<int>").select(dm.multi_hot(F.col("ids"), 3).alias("hot"))
+    assert [r.hot for r in hot.collect()] == [[1, 0, 1], [None] * 3] and "lambdafunction" not in plan_of(hot)
