@@ -94,3 +94,8 @@ def test_facts_are_sought_only_for_pairs_that_have_some(spark):
     assert "CASE WHEN array_contains(_known" in plan_of(got)
     hot = spark.createDataFrame([([0, 2],), (None,)], "ids array<int>").select(dm.multi_hot(F.col("ids"), 3).alias("hot"))
     assert [r.hot for r in hot.collect()] == [[1, 0, 1], [None] * 3] and "lambdafunction" not in plan_of(hot)
+
+
+def test_predicted_edges_are_made_once_for_both_upserts(spark):
+    plan = plan_of(QUERIES["g7_upsert_edges"](spark, GIVEN))
+    assert plan.count(".predicted_") == 2 and "posexplode" not in plan  # logits were decoded for each of the two
