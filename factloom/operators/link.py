@@ -30,9 +30,14 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _sharing(keys: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows of both sides with equal ``key``, never by broadcast: Spark takes an exploded side to be as small as the texts that it was made of, and would send it whole through the driver."""
-    return keys.hint("merge").join(index, "key")
+def _spread_pairs(pairs: DataFrame) -> DataFrame:
+    """Different pairs, dealt over all shuffle partitions: two short texts are much work to compare, and AQE would leave millions of pairs to a few tasks."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mention", "name").distinct()
+
+
+def _sharing(keys: DataFrame, index: DataFrame, *more: str) -> DataFrame:
+    """Rows of both sides with equal ``key`` (and ``more``), never by broadcast: Spark takes an exploded side to be as small as the texts that it was made of, and would send it whole through the driver."""
+    return keys.hint("merge").join(index, ["key", *more])
 
 
 def _per_question(mentions: DataFrame, matches: DataFrame) -> DataFrame:
@@ -160,10 +165,12 @@ def _prefix_pairs(mentions: DataFrame, names: DataFrame, cutoff: float) -> DataF
     rank = F.row_number().over(W.partitionBy("mention").orderBy(F.coalesce("n", F.lit(0)), "key"))
     prefix = (keys.hint("merge").join(counts, "key", "left").withColumn("rank", rank)
               .withColumn("spare", spare).filter(F.col("rank") <= F.col("la") + 1 - F.col("spare")))
-    lcs = F.ceil(share * (F.col("la") + F.col("lb")) - 1e-9)
-    need = 3 * lcs - F.col("la") - F.col("lb") + 1 - F.col("spare")
-    fits = (lcs <= F.col("la")) & (lcs <= F.col("lb"))
-    shared = (_sharing(prefix, index).filter(fits).groupBy("mention", "name", "la", "lb", "spare")
+    longest = lambda lb: F.ceil(share * (F.col("la") + lb) - 1e-9)
+    need = 3 * longest(F.col("lb")) - F.col("la") - F.col("lb") + 1 - F.col("spare")
+    # a mention's keys meet only names of a length that it can match: short mentions share bigrams with all long names
+    fitting = F.filter(_lengths(names), lambda lb: (longest(lb) <= F.col("la")) & (longest(lb) <= lb))
+    prefix = prefix.select("mention", "la", "spare", "key", F.explode(fitting).alias("lb"))
+    shared = (_sharing(prefix, index, "lb").groupBy("mention", "name", "la", "lb", "spare")
               .agg(F.count("*").alias("shared")).filter(F.col("shared") >= need))
     return shared.select("mention", "name")
 
@@ -214,7 +221,7 @@ def struck_pairs(mentions: DataFrame, names: DataFrame, letters: int) -> DataFra
     pool = names.select("name").distinct().filter(F.char_length("name") <= STRUCK_LENGTH + letters)
     keys = _spread(asked).select("mention", F.explode(_struck(F.col("mention"), letters)).alias("key"))
     index = _spread(pool).select("name", F.explode(_struck(F.col("name"), letters)).alias("key"))
-    pairs = _sharing(keys, index).select("mention", "name").distinct()
+    pairs = _spread_pairs(_sharing(keys, index).select("mention", "name"))
     return pairs.select("mention", "name", indel_ratio(F.col("mention"), F.col("name")).alias("ratio"))
 
 

@@ -51,3 +51,16 @@ def test_pairs_meet_facts_only_where_both_names_are_known(spark):
     assert {(r["outcome"], r["n"]) for r in got.collect()} == {("caught", 1), ("missed", 1)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") == 2
+
+
+def test_a_pair_of_texts_is_compared_once(spark):
+    mentions = spark.createDataFrame([("Cutsomer 1",), ("Ada",), ("1234567",)], "mention string")
+    names = spark.createDataFrame([("Customer 1",), ("Ada",), ("no 1234567 of many",)], "name string")
+    for pairs in (link.struck_pairs(mentions, names, 2), link.fuzzy_pairs(mentions, names, 80.0)):
+        found = pairs.filter("ratio >= 80")
+        assert {(r["mention"], r["name"]) for r in found.collect()} == {("Cutsomer 1", "Customer 1"), ("Ada", "Ada")}
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # once for each meeting of a pair, and once more
+    plan = link.struck_pairs(mentions, names, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan[plan.index("ArrowEvalPython"):plan.index("SortMergeJoin")]
+    plan = link.fuzzy_pairs(mentions, names, 80.0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and ", lb#" in plan[plan.index("SortMergeJoin [key"):].split("]")[0]  # short mentions met all long names first
